@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import secret_scan, simhash_dedup, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,43 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_bytes(suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.findings(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _spans_sql(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""select doc_id, {place} as place, '{kind}' as kind, m, k, list_sum(list_transform(s[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0) as a
+from (select doc_id, m, s, unnest(range(1, len(m) + 1)) as k, g
+      from (select doc_id, regexp_extract_all(t, '{p}') as m, regexp_extract_all(t, '{p}', {group}) as g, regexp_split_to_array(t, '{p}') as s from texts))
+where length(g[k]) >= {least}"""
+
+
+_KEYWORDS = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_SPANS = " union all ".join((
+    _spans_sql(0, "assign", rf"""({_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    _spans_sql(1, "access", "AKIA[A-Z0-9]+", 0, 18),
+    _spans_sql(2, "hex", "[0-9a-f]+", 0, 16),
+    _spans_sql(3, "pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    _spans_sql(4, "forge", "gh[pousr]_[A-Za-z0-9]{36}", 0, 1),
+))
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
@@ -53,4 +85,12 @@ parts as (select doc_id, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), ''
 select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(k, 0)::bigint as n_spans,
        sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) as kept_sha256
 from bytes left join parts using (doc_id)""",
+    "op7_secret_scan": f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents), found as ({_SPANS}),
+spelled as (select doc_id, kind, place, a, kind || ':' || a::bigint || ':' || (a + length(m[k]))::bigint as s from found),
+each_doc as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  string_agg(s, ',' order by a, place) filter (place < 3) as base, string_agg(s, ',' order by a, place) as spans from spelled group by doc_id)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join each_doc using (doc_id)""",
 }

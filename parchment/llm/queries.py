@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, simhash_dedup, substring_dedup, suffix_dedup
+from . import packing, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_bytes(suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_store(token_store.write_store(_table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.findings(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -32,7 +40,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_packing": op4_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_token_store": op8_token_store,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: A run of positions is one long: start << RUN_BITS | count.
 RUN_BITS = 24
 RUN_MASK = (1 << RUN_BITS) - 1
@@ -126,45 +126,41 @@ def _byte_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 7919 + 17))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^k and r^-k modulo 2^64 for an odd r chosen by ``seed``."""
-    have = _powers.get(seed)
-    if have is None or len(have[0]) < n:
-        m = max(n, CHUNK_BYTES + 1024)
-        r = int(mix(np.array([seed * 104729 + 11], np.uint64))[0]) | 1
-        out = []
-        for base in (r, pow(r, -1, 1 << 64)):
-            table, have_n = np.ones(m, np.uint64), 1
-            while have_n < m:  # doubling: table[h:2h] = table[:h] * base^h
-                k = min(have_n, m - have_n)
-                table[have_n : have_n + k] = table[:k] * np.uint64(pow(base, have_n, 1 << 64))
-                have_n += k
-            out.append(table)
-        if n > CHUNK_BYTES + 1024:  # only for one oversized document; not kept
-            return out[0], out[1]
-        _powers[seed] = have = (out[0], out[1])
-    return have
-
-
-def prefix_hash(values: np.ndarray, seed: int) -> np.ndarray:
-    """P with P[k] = sum of values[i] * r^i for i < k; feeds ``span_hash``."""
-    power, _ = _power_table(seed, len(values) + 1)
+BASE = 0xD1342543DE82EF95  #: odd, so that it has an inverse modulo 2^64
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^k and BASE^-k modulo 2^64 for k < n; kept for ordinary chunks, made anew for one oversized document."""
+    return _powers(CHUNK_BYTES + 1024) if n <= CHUNK_BYTES + 1024 else _powers.__wrapped__(n)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        table, have = np.ones(n, np.uint64), 1
+        while have < n:  # doubling: table[h:2h] = table[:h] * base^h
+            k = min(have, n - have)
+            table[have : have + k] = table[:k] * np.uint64(pow(base, have, 1 << 64))
+            have += k
+        out.append(table)
+    return out[0], out[1]
+
+
+def prefix_hash(values: np.ndarray) -> np.ndarray:
+    """P with P[k] = sum of values[i] * BASE^i for i < k; feeds ``span_hash``.  Hashes are independent where values are."""
     p = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=p[1:])
+    np.cumsum(values * _power_table(len(values) + 1)[0][: len(values)], out=p[1:])
     return p
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of values[start:end] that doesn't depend on where the span lies."""
-    _, inverse = _power_table(seed, len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start])
+    return mix((prefix[end] - prefix[start]) * _power_table(len(prefix))[1][start])
 
 
 def byte_prefix(data: np.ndarray, seed: int) -> np.ndarray:
-    return prefix_hash(_byte_values(seed)[data], seed)
+    return prefix_hash(_byte_values(seed)[data])
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +183,7 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    return span_hash(byte_prefix(data, seed), starts, ends, seed)
+    return span_hash(byte_prefix(data, seed), starts, ends)
 
 
 # --- runs of positions ---------------------------------------------------------------------------------------------

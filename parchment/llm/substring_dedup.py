@@ -127,7 +127,7 @@ def anchors(docs: DataFrame, window: int, bits: int) -> DataFrame:
         doc = np.repeat(np.arange(len(counts)), counts)
         local = np.arange(len(starts)) - first[doc]
         at = np.flatnonzero(np.isin(local % PERIOD, COVER) & (local + reach <= counts[doc]) & (counts[doc] >= window) & valid[doc])
-        h = C.span_hash(C.prefix_hash(words, 3), at, at + reach, 3)
+        h = C.span_hash(C.prefix_hash(words), at, at + reach)
         order = np.argsort(h, kind="stable")
         s = h[order]
         same = s[1:] == s[:-1]
@@ -158,7 +158,7 @@ def extended(joined: DataFrame, window: int, bits: int) -> DataFrame:
         at = np.flatnonzero(near & (local + window <= counts[doc]))
         if not len(at):
             return
-        h1, h2 = (C.span_hash(C.prefix_hash(C.word_hashes(data, starts, ends, s), s + 2), at, at + window, s + 2) for s in (5, 6))
+        h1, h2 = (C.span_hash(C.prefix_hash(C.word_hashes(data, starts, ends, s)), at, at + window) for s in (5, 6))
         d, p = ids[doc[at]], local[at]
         mask = not_first([h1, h2], d, p)
         rest = np.flatnonzero(~mask)

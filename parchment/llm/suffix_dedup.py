@@ -63,7 +63,7 @@ def super_windows(data: np.ndarray, off: np.ndarray, depth: int, gram: int) -> t
     if n < depth:
         return none, none, none, none, none.view(np.uint64)
     at = np.arange(n - gram + 1)
-    h = C.span_hash(C.byte_prefix(data, 11), at, at + gram, 11)
+    h = C.span_hash(C.byte_prefix(data, 11), at, at + gram)
     bits = np.uint64(max(24, n.bit_length()))
     best = window_minima(h >> bits << bits | at.astype(np.uint64), depth - gram + 1)
     where = (best & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
@@ -119,8 +119,8 @@ def first_digit(docs: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
         if not len(row):
             return
         end = start + count - 1 + depth
-        h1 = C.span_hash(C.byte_prefix(data, 12), start, end, 12)
-        h2 = C.span_hash(C.byte_prefix(data, 13), start, end, 13)
+        h1 = C.span_hash(C.byte_prefix(data, 12), start, end)
+        h2 = C.span_hash(C.byte_prefix(data, 13), start, end)
         order = np.lexsort((h2, h1))
         same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         twice = np.zeros(len(row), bool)
@@ -224,7 +224,7 @@ def radix_groups(group: np.ndarray, at: np.ndarray, prefix: np.ndarray, depth: i
     """Indexes of the suffixes ``at`` whose first ``depth`` bytes occur twice or more; ``group`` is the first digit."""
     live = np.arange(len(at))
     for k in range(0, depth, digit):
-        key = C.span_hash(prefix, at[live] + k, at[live] + min(k + digit, depth), 17)
+        key = C.span_hash(prefix, at[live] + k, at[live] + min(k + digit, depth))
         order = np.lexsort((key, group))
         g, d = group[order], key[order]
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))

@@ -54,7 +54,7 @@ def carried_rows(bits: int, h: list[np.ndarray], docs: np.ndarray, pos: np.ndarr
     key = np.sort(bucket << 40 | np.arange(len(bucket)))
     idx, bucket = key & ((1 << 40) - 1), key >> 40
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(idx) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(idx))
+    ends = np.append(cut[1:], len(idx)) if len(idx) else cut
     blobs = [_pack([x[idx[a:b]] for x in h], docs[idx[a:b]], pos[idx[a:b]]) for a, b in zip(cut, ends, strict=True)]
     sd, runs = settled
     k, none = len(blobs), len(sd)

@@ -3,15 +3,16 @@
 Every string of ``DEPTH`` bytes that starts at two places is found by ordering suffixes by their first DEPTH bytes
 only.  The passes, most significant first:
 
-1. The first digit is content-defined: the minimizer of the window, the 64-byte gram of least hash in it.  Equal
+1. The first digit is content-defined: the minimizer of the window, the 192-byte gram of least hash in it.  Equal
    windows have equal minimizers at equal offsets, so this digit deals the suffixes out without ever splitting a group.
-   Neighbouring suffixes share a minimizer (about 170 at a time), so it costs one row a run and not one a byte.
+   Neighbouring suffixes share a minimizer (about 100 at a time), so it costs one row a run and not one a byte.
    Runs whose minimizer is unique end here.
 2. Whole runs are compared: the windows of two identical runs are all repeated.  One of each kind goes on, and only
    where its minimizer also has runs of another kind.
 3. The text of those runs is dealt out by minimizer, and their suffixes are refined by digits of 80 bytes, five passes
    to the depth; groups of one drop out at each pass.  What is left in groups after the last are exactly the repeated
-   windows.
+   windows.  A minimizer with many kinds of runs (a passage in ever other surroundings) would meet in one task: its
+   suffixes are dealt by a digit of the whole depth instead, window by window, so that only equal ones meet.
 
 Identical runs of one chunk are settled in it and send one representative, so copies that make up a third of the rows
 send a row per chunk.  A task holds one bucket of minimizers at a time.
@@ -32,14 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
+from . import substring_dedup as S
 
 DEPTH = 400
-GRAM = 64
+GRAM = 192
 DIGIT = 80
+#: Kinds of runs under one minimizer above which their windows are dealt one by one rather than with their text.
+CROWD = 48
+_ONE_BY_ONE = 1 << 20
 
 _RUNS = "bucket int, n int, blob binary, doc_id long, runs array<long>"
 _FOUND = "doc_id long, runs array<long>, wanted array<long>"
-_TEXTS = "bucket int, n int, meta binary, body binary, doc_id long, runs array<long>"
+_TEXTS = "bucket int, n int, meta binary, body binary, blob binary, doc_id long, runs array<long>"
 _WIDTHS = (6, 6, 6, 8, 5, 2, 2)  # minimizer, two hashes of the run, document step, start, count, offset of the minimizer
 
 
@@ -105,7 +110,10 @@ def _own_bucket(docs: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    """Starts and ends of the runs of equal keys."""
+    if not len(key):
+        return key.astype(np.int64), key.astype(np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     return cut, np.append(cut[1:], len(key))
 
 
@@ -121,12 +129,7 @@ def first_digit(docs: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
         end = start + count - 1 + depth
         h1 = C.span_hash(C.byte_prefix(data, 12), start, end)
         h2 = C.span_hash(C.byte_prefix(data, 13), start, end)
-        order = np.lexsort((h2, h1))
-        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        twice = np.zeros(len(row), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        rep = np.sort(order[np.concatenate(([True], ~same))])
+        twice, rep = _both_repeated(h1, h2)
         sd, sruns = _marks(ids[row[twice]], (start - off[row])[twice], count[twice])
         bucket = (mini[rep] >> np.uint64(64 - bits)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
@@ -167,7 +170,9 @@ def whole_runs(rows: DataFrame) -> DataFrame:
             twice = np.bincount(kind_no)[kind_no] > 1
             d, runs = _marks(docs[twice], start[twice], count[twice])
             out.append(pa.Table.from_arrays([pa.array(d, pa.int64()), runs.cast(lists), pa.nulls(len(d), lists)], schema=schema))
-            want = kind & (np.bincount(group_no[kind])[group_no] > 1)
+            kinds = np.bincount(group_no[kind])[group_no]
+            want = kind & (kinds > 1)
+            rel = np.where(kinds > CROWD, rel + _ONE_BY_ONE, rel)
             if want.any():
                 w = np.flatnonzero(want)
                 w = w[np.argsort(docs[w], kind="stable")]
@@ -179,10 +184,29 @@ def whole_runs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, _FOUND.replace(", ", ","))
 
 
+def _one_by_one(data, off, row, start, count, doc, depth: int, bits: int) -> dict:
+    """Rows for windows dealt by the hash of their whole depth; those that repeat in the chunk are settled."""
+    seg = np.repeat(np.arange(len(count)), count)
+    pos = start[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    at = off[row[seg]] + pos
+    h1, h2 = (C.span_hash(C.byte_prefix(data, k), at, at + depth) for k in (12, 13))
+    twice, rep = _both_repeated(h1, h2)
+    docs = doc[seg]
+    return S.carried_rows(bits, [h1[rep], h2[rep]], docs[rep], pos[rep], C.doc_runs(docs[twice], pos[twice]))
+
+
+def _both_repeated(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of those whose pair of hashes repeats, indexes of the first of each pair in order)."""
+    order = np.lexsort((h2, h1))
+    same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    mask = np.zeros(len(h1), bool)
+    mask[order[1:][same]] = True
+    mask[order[:-1][same]] = True
+    return mask, np.sort(order[np.concatenate(([True], ~same))]) if len(order) else order
+
+
 def wanted_texts(joined: DataFrame, depth: int, bits: int) -> DataFrame:
     """The text of the wanted runs, dealt by minimizer; marks pass through, dealt by document."""
-    bits_in_bucket = min(bits, 48)
-
     def one(batch, data, off):
         ids = C.column(batch, "doc_id")
         have = C.column(batch, "runs")
@@ -197,7 +221,10 @@ def wanted_texts(joined: DataFrame, depth: int, bits: int) -> DataFrame:
         fits = off[row] + start + size <= off[row + 1]  # not so only where another row has the same doc_id
         row, start, count, rel, mini, size = (x[fits] for x in (row, start, count, rel, mini, size))
         doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        bucket = (C.mix(mini) >> np.uint64(64 - bits_in_bucket)).astype(np.int64)
+        crowd = rel >= _ONE_BY_ONE
+        single = _one_by_one(data, off, row[crowd], start[crowd], count[crowd], doc[crowd], depth, bits) if crowd.any() else None
+        row, start, count, rel, mini, size, doc = (x[~crowd] for x in (row, start, count, rel, mini, size, doc))
+        bucket = (C.mix(mini) >> np.uint64(64 - bits)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         a, b = _cuts(bucket[by])
         meta, body = [], []
@@ -206,16 +233,20 @@ def wanted_texts(joined: DataFrame, depth: int, bits: int) -> DataFrame:
             meta.append(np.stack([mini[w].view(np.int64), doc[w], start[w], count[w], rel[w]]).astype("<i8").tobytes())
             body.append(b"".join(data[off[r] + s : off[r] + s + z].tobytes() for r, s, z in zip(row[w], start[w], size[w], strict=True)))
         k, s = len(meta), len(sd)
-        own = _own_bucket(sd.to_numpy(zero_copy_only=False), bits_in_bucket) if s else np.zeros(0, np.int32)
+        lists = pa.list_(pa.int64())
+        own = _own_bucket(sd.to_numpy(zero_copy_only=False), bits) if s else np.zeros(0, np.int32)
         if k + s:
             yield {
                 "bucket": np.concatenate((bucket[by][a].astype(np.int32), own)),
                 "n": np.concatenate(((b - a) if k else a, np.zeros(s, np.int64))).astype(np.int32),
                 "meta": pa.array([*meta, *[None] * s], pa.binary()),
                 "body": pa.array([*body, *[None] * s], pa.binary()),
+                "blob": pa.nulls(k + s, pa.binary()),
                 "doc_id": pa.concat_arrays([pa.nulls(k, pa.int64()), sd]),
-                "runs": pa.concat_arrays([pa.nulls(k, pa.list_(pa.int64())), sruns.cast(pa.list_(pa.int64()))]),
+                "runs": pa.concat_arrays([pa.nulls(k, lists), sruns.cast(lists)]),
             }
+        if single:
+            yield {**single, "meta": pa.nulls(len(single["n"]), pa.binary()), "body": pa.nulls(len(single["n"]), pa.binary())}
 
     return C.map_arrow(joined, one, _TEXTS)
 
@@ -240,8 +271,15 @@ def later_digits(rows: DataFrame, depth: int, digit: int) -> DataFrame:
     schema = C.arrow_schema("doc_id long, runs array<long>")
 
     def run(table: pa.Table) -> pa.Table:
-        keep = table.column("meta").is_valid()
-        out = [table.filter(pc.invert(keep)).select(["doc_id", "runs"]).cast(schema)]
+        keep, single = table.column("meta").is_valid(), table.column("blob").is_valid()
+        out = [table.filter(pc.invert(pc.or_(keep, single))).select(["doc_id", "runs"]).cast(schema)]
+        alone = table.filter(single)
+        if alone.num_rows:
+            parts = [S._unpack(b, n, 2) for b, n in zip(alone.column("blob").to_pylist(), alone.column("n").to_pylist(), strict=True)]
+            h1, h2, docs, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mask = _both_repeated(h1, h2)[0]
+            d, runs = C.doc_runs(docs[mask], pos[mask].astype(np.int64))
+            out.append(pa.Table.from_arrays([pa.array(d, pa.int64()), runs.cast(pa.list_(pa.int64()))], schema=schema))
         own = table.filter(keep)
         if own.num_rows:
             meta = np.concatenate([np.frombuffer(m, "<i8").reshape(5, -1) for m in own.column("meta").to_pylist()], axis=1)

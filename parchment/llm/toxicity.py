@@ -1,10 +1,11 @@
 """Toxicity scores from a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 Features are counts of character n-grams (3, 5 and 7) over the distinct lower-cased words of a whole text, word ends
-included, hashed to 2^20 places.  The log-count ratio of each place comes from the counts over all training rows,
-summed where the text is.  A logistic regression over the scaled features is then fitted on a sample of the training rows, at most
-about ``sample`` of each class, chosen by a hash of doc_id; only the sample's features go to the driver, and what the
-driver sends out is one weight a place.
+included, hashed to 2^20 places.  The model is fitted on bounded samples of the labelled rows, chosen by a hash of
+doc_id: the log-count ratio of each place comes from about ``RATIO_ROWS`` of each class, counted where the text is, and
+a logistic regression over the scaled features from about ``sample`` of each.  So the rows to train on are a table of
+bounded size, which is broadcast to the scan of the texts: no text is shuffled.  Only the smaller sample's features go
+to the driver, and what the driver sends out is one weight a place.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; labels for unknown documents,
 null labels and null ids are ignored in training; of several labels of one document the larger counts; with only one
@@ -22,7 +23,8 @@ from . import _common as C
 
 BITS = 20
 ORDERS = (3, 5, 7)
-SAMPLE = 1500
+SAMPLE = 1500  #: rows of each class that the logistic regression sees
+RATIO_ROWS = 10_000  #: rows of each class that the log-count ratios see
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -59,14 +61,25 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (none, none)
 
 
-def _training(docs: DataFrame, labels: DataFrame, label: str, holdout: int) -> DataFrame:
+def _training(docs: DataFrame, labels: DataFrame, label: str, holdout: int) -> tuple[DataFrame, list[int]]:
+    """Sampled rows with their text and ``slot`` (their place in the hash order, below a million), and the rows labelled 0 and 1."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % holdout != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+    known = known.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = [n.get(0, 0), n.get(1, 0)]
+    chosen = known.where(F.col("slot") < _share(rows, RATIO_ROWS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), rows
+
+
+def _share(rows: list[int], most: int):
+    """Slots below this hold about ``most`` rows of the row's class."""
+    of = [int(min(1.0, most / max(1, n)) * 1_000_000) for n in rows]
+    return F.when(F.col("label") == 1, of[1]).otherwise(of[0])
 
 
 def log_count_ratios(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(log-count ratio of each place, rows of each class), from all training rows; a task sums before it sends."""
+    """(log-count ratio of each place, rows of each class) of the training rows; a task sums before it sends."""
 
     def run(batches):
         count, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -116,13 +129,13 @@ def fit_logistic(row: np.ndarray, place: np.ndarray, y: np.ndarray, ratio: np.nd
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout: int = 5, sample: int = SAMPLE) -> dict:
     """The model: weight and squared ratio of each place, and the intercept.  Rows with crc32(doc_id) % holdout = 0 are left out."""
     C.tune(docs.sparkSession)
-    training = _training(docs, labels, label, holdout)
+    training, labelled = _training(docs, labels, label, holdout)
     ratio, rows = log_count_ratios(training)
     if not rows.all():
         share = float(np.clip(rows[1] / max(1, rows.sum()), 0.001, 0.999))
         return {"weight": np.zeros(1 << BITS), "square": np.zeros(1 << BITS), "intercept": float(np.log(share / (1 - share)))}
-    share = [int(min(1.0, sample / n) * 1_000_000) for n in rows]
-    chosen = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
+    chosen = training.where(F.col("slot") < _share(labelled, sample))
+
     def one(batch, data, off):
         doc, place = features(data, off)
         key, count = np.unique(doc << BITS | place, return_counts=True)

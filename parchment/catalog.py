@@ -1,4 +1,11 @@
 """Names of the archive queries, with their functions and DuckDB SQL."""
 
+from __future__ import annotations
+
+from parchment.operators import extraction, forum, history, listing, people, retrieval, versions
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (retrieval, listing, versions, people, history, forum, extraction):
+    QUERIES |= _module.REGISTRY.queries
+    ORACLES |= _module.REGISTRY.oracles

@@ -37,9 +37,14 @@ SHARD_IDS = 1 << 20
 ROUNDS = 4
 RULES_A_ROUND = 4000
 LEAST_COUNT = 16
+BIN_BITS = 21
 _SHARDS = "part int, shard int, start long, n_ids long, blob binary"
 
 
+def _cells(key: np.ndarray) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).view(np.int64)
+
+
 def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): rule k stands for symbols left[k], right[k] and has the number base + k."""
     seq = ids.astype(np.int64)
@@ -50,20 +55,21 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
         if len(seq) < 2:
             break
         key = seq[:-1] << 32 | seq[1:]
-        inside = ~ends[seq[:-1]]
-        pairs, counts = np.unique(key[inside], return_counts=True)
+        # a pair can only be frequent if its bin is: the others are never sorted
+        cell = _cells(key)
+        busy = np.bincount(cell, minlength=1 << BIN_BITS) >= LEAST_COUNT
+        pairs, counts = np.unique(key[np.flatnonzero(busy[cell] & ~ends[seq[:-1]])], return_counts=True)
         frequent = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(frequent):
             break
-        if len(frequent) > RULES_A_ROUND:
-            frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:RULES_A_ROUND]])
-        chosen = pairs[frequent]
-        rank = np.empty(len(chosen), np.int64)
-        rank[np.argsort(counts[frequent], kind="stable")] = np.arange(1, len(chosen) + 1)
-        at = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        is_pair = chosen[at] == key
-        score = np.zeros(len(key) + 2, np.int64)
-        score[1:-1] = np.where(is_pair, rank[at], 0)
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:RULES_A_ROUND]]
+        chosen = pairs[frequent]  # most frequent first
+        home = np.zeros(1 << BIN_BITS, np.int32)  # 1 + index in chosen; of two in one bin the more frequent stays, the other waits a round
+        home[_cells(chosen)[::-1]] = np.arange(len(chosen), 0, -1)
+        at = home[cell] - 1
+        is_pair = (at >= 0) & (chosen[at] == key)
+        score = np.zeros(len(key) + 2, np.int32)
+        score[1:-1] = np.where(is_pair, len(chosen) - at, 0)
         here, before, after = score[1:-1], score[:-2], score[2:]
         run_start = np.maximum.accumulate(np.where(here != before, np.arange(len(key)), 0))
         take = np.flatnonzero((here > 0) & (here >= before) & (here >= after) & ((np.arange(len(key)) - run_start) % 2 == 0))

@@ -1,13 +1,13 @@
 """Benchmark decontamination by canonical templates.
 
 Texts become sequences of tokens in which numbers, units after numbers, and names (capitalised inside a sentence) are
-typed placeholders.  Windows of ``WINDOW`` tokens of the benchmark are joined by hash with those of every document, so a
+typed placeholders, by whole-string replacements.  Windows of ``WINDOW`` tokens of the benchmark are joined by hash with those of every document, so a
 question whose numbers and names were changed still matches.  For one alignment of an item with a document, each slot
 value of the item must stand for one value throughout; where it doesn't, the match is chance and is dropped.  A document
 is contaminated if a consistent alignment matches ``LEAST`` windows (13 tokens), or all windows of a shorter item.
 
 Everything is DataFrame expressions.  The benchmark's windows are broadcast only while they number at most
-``BROADCAST_WINDOWS``; beyond that both sides are shuffled by hash, and the matched documents are joined again.
+``BROADCAST_WINDOWS``; beyond that both sides are shuffled by hash.  Only documents with a hit are looked at again, for their slots.
 
 Defined cases: null or empty texts and items have no windows; items with fewer than four literal tokens can't match;
 a null doc_id is returned as clean and not compared; rows that share a doc_id are judged together; repeated items
@@ -31,11 +31,15 @@ UNITS = (
     "ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur hz khz mhz w kw kwh v kb mb gb tb mph kmh degrees"
 ).split()
-_TOKENS = r"[.!?\n]|[0-9]+(?:[.,][0-9]+)*|\p{L}+"
-
-
-def _is_digit(c: Column) -> Column:
-    return (c >= "0") & (c < ":")
+#: A placeholder is this private-use character and a letter: n number, u unit, a name.
+_MARK = ""
+_RAW = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
+#: Each replaces one raw token by one placeholder, in this order.
+_PLACEHOLDERS = (
+    (r"(?<=[\p{L}\p{N},;:)] )\p{Lu}\p{L}*", _MARK + "a"),
+    (rf"(?<=[0-9] )(?i:{'|'.join(UNITS)})(?!\p{{L}})", _MARK + "u"),
+    (r"[0-9]+(?:[.,][0-9]+)*", _MARK + "n"),
+)
 
 
 def _let(value: Column, body) -> Column:
@@ -43,63 +47,60 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def canonical(raw: Column) -> Column:
-    """array<struct<t, v>> of raw tokens: the template token, and the value that fills its slot."""
-    return _let(raw, lambda r: F.filter(F.transform(r, lambda t, i: _typed(r, t, i)), lambda x: x["t"] != ""))
+def _plain(text: Column) -> Column:
+    # the one letter whose lower case is two characters would shift places
+    return F.translate(text, _MARK + "\u0130", " I")
 
 
-def _typed(raw: Column, t: Column, i: Column) -> Column:
-    low, head = F.lower(t), F.substring(t, 1, 1)
-    before = F.get(raw, i - 1)  # null before the first
-    stop = head.isin(".", "!", "?", "\n")
-    name = (F.lower(head) != head) & before.isNotNull() & ~before.isin(".", "!", "?", "\n")
-    unit = _is_digit(before) & low.isin(*UNITS)
-    return F.struct(
-        F.when(stop, "").when(_is_digit(head), "#num").when(unit, "#unit").when(name, "#name").otherwise(low).alias("t"),
-        low.alias("v"),
-    )
-
+def template(text: Column) -> Column:
+    """The template tokens of a text: lower-case words and placeholders, as many as raw tokens.
 
-def _windows(tpl: Column, size: int) -> Column:
-    """Hash of each window of ``size`` tokens, in order."""
-    n = F.size(tpl) - size + 1
-    hashed = _let(tpl, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(x, i, size)).alias("h"))))
-    return F.when(n > 0, hashed)
+    Whole-string expressions do the work; no lambda runs over tokens.
+    """
+    out = _plain(text)
+    for pattern, mark in _PLACEHOLDERS:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.regexp_extract_all(F.lower(out), F.lit(rf"{_MARK}[nua]|\p{{L}}+"), F.lit(0))
 
 
-def _prepared(table: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tpl, val): template tokens and their values."""
-    raw = table.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.regexp_extract_all(F.col(text), F.lit(_TOKENS), F.lit(0)).alias("raw"))
-    typed = raw.select(key, canonical(F.col("raw")).alias("x"))
-    return typed.select(key, F.col("x.t").alias("tpl"), F.col("x.v").alias("val"))
+def values(text: Column) -> Column:
+    """The raw tokens of a text in lower case; at a placeholder's place stands what fills its slot."""
+    return F.transform(F.regexp_extract_all(_plain(text), F.lit(_RAW), F.lit(0)), F.lower)
 
 
-def _exploded(prepared: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
-    arrays = [F.coalesce(_windows(F.col("tpl"), s), F.expr("cast(array() as array<struct<size:int,pos:int,h:bigint>>)")) for s in sizes]
-    return prepared.select(*keep, F.explode(reduce(lambda a, b: F.concat(a, b), arrays)).alias("w")).select(*keep, "w.size", "w.pos", "w.h")
+def _windows(rows: DataFrame, size: int, *keep: str) -> DataFrame:
+    """(keep, pos from 1, h) of each window of ``size`` tokens of ``tpl``."""
+    # an outer explode of one expression: a filter on it, written or inferred, would compute the template twice
+    hashes = _let(F.col("tpl"), lambda x: F.when(F.size(x) >= size, F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.xxhash64(F.slice(x, i, size)))))
+    return rows.select(*keep, F.posexplode_outer(hashes).alias("_p", "h")).select(*keep, (F.col("_p") + 1).alias("pos"), "h")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows) of the consistent alignments that contaminate; one row a document and item."""
-    items = _prepared(benchmark.dropDuplicates([item]), item, item_text).where(F.size("tpl") >= LITERALS)
-    sized = items.withColumn("size", F.least(F.size("tpl"), F.lit(window)))
-    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())  # at most ``window`` values
-    if not sizes:
+    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).dropDuplicates([item]).select(F.col(item).cast("long").alias(item), template(F.col(item_text)).alias("tpl"), values(F.col(item_text)).alias("val"))
+    items = items.where(F.size("tpl") >= LITERALS).withColumn("size", F.least(F.size("tpl"), F.lit(window)))
+    texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
+    tokens = texts.select(key, "_text", template(F.col("_text")).alias("tpl"))
+    parts = []
+    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most ``window`` values
+        own = _windows(items.where(F.col("size") == size), size, item, "tpl", "val").select(
+            "h", item, F.col("pos").alias("ipos"), F.least(F.size("tpl") - size + 1, F.lit(least)).alias("need"), F.slice("tpl", F.col("pos"), size).alias("itpl"), F.slice("val", F.col("pos"), size).alias("ival"),
+        ).where(F.size(F.filter("itpl", lambda t: ~t.startswith(_MARK))) >= LITERALS)
+        hit = F.struct("pos", item, "ipos", "need", "itpl", "ival").alias("hit")
+        if own.count() <= BROADCAST_WINDOWS:
+            parts.append(_windows(tokens, size, key, "_text").join(F.broadcast(own), "h").select(key, "_text", hit))
+        else:
+            parts.append(_windows(tokens, size, key).join(own, "h").select(key, hit).join(texts, key).select(key, "_text", "hit"))
+    if not parts:
         return docs.sparkSession.createDataFrame([], f"{key} long, {item} long, n_windows long")
-    own = reduce(DataFrame.unionByName, [_exploded(sized.where(F.col("size") == s).drop("size"), [s], item, "tpl", "val") for s in sizes])
-    own = own.select(
-        "size", "h", item, F.col("pos").alias("ipos"), F.least(F.size("tpl") - F.col("size") + 1, F.lit(least)).alias("need"),
-        F.slice("tpl", F.col("pos"), F.col("size")).alias("itpl"), F.slice("val", F.col("pos"), F.col("size")).alias("ival"),
-    ).where(F.size(F.filter("itpl", lambda t: ~t.startswith("#"))) >= LITERALS)
-    prepared = _prepared(docs, key, text)
-    if own.count() <= BROADCAST_WINDOWS:
-        found = _exploded(prepared, sizes, key, "tpl", "val").join(F.broadcast(own), ["size", "h"])
-    else:
-        placed = _exploded(prepared, sizes, key).join(own, ["size", "h"])
-        found = placed.join(prepared, key)
-    found = found.where(F.slice("tpl", F.col("pos"), F.col("size")) == F.col("itpl")).select(
+    # only documents with a hit go on, each with its text once
+    hits = reduce(DataFrame.unionByName, parts).groupBy(key, "_text").agg(F.collect_list("hit").alias("hits"))
+    hits = hits.select(key, template(F.col("_text")).alias("tpl"), values(F.col("_text")).alias("val"), "hits")
+    hits = hits.select(key, "tpl", "val", F.explode("hits").alias("hit")).select(key, "tpl", "val", "hit.*")  # after the tokens, or they are made for every hit
+    at = lambda c: F.slice(c, F.col("pos"), F.size("itpl"))
+    found = hits.where(at("tpl") == F.col("itpl")).select(
         key, item, "need", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos",
-        F.transform(F.filter(F.arrays_zip("itpl", "ival", F.slice("val", F.col("pos"), F.col("size")).alias("dval")), lambda z: z["itpl"].startswith("#")), lambda z: F.struct(z["ival"].alias("i"), z["dval"].alias("d"))).alias("slots"),
+        F.transform(F.filter(F.arrays_zip("itpl", "ival", at("val").alias("dval")), lambda z: z["itpl"].startswith(_MARK)), lambda z: F.struct(z["ival"].alias("i"), z["dval"].alias("d"))).alias("slots"),
     )
     aligned = found.groupBy(key, item, "need", "shift").agg(F.countDistinct("ipos").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     sound = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ SHARD_IDS = 1 << 20
 ROUNDS = 4
 RULES_A_ROUND = 4000
 LEAST_COUNT = 16
-BIN_BITS = 21
+BIN_BITS = 17  #: the tables of bins stay in a core's cache
 _SHARDS = "part int, shard int, start long, n_ids long, blob binary"
 
 
@@ -87,17 +88,37 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
     return seq, left, right
 
 
-def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """Symbols to ids, a level of rules at a time."""
-    seq = seq.astype(np.int64)
-    while len(seq) and seq.max() >= base:
-        rule = seq >= base
-        at = np.cumsum(1 + rule) - 1  # place of each symbol's last part
-        out = np.empty(at[-1] + 1, np.int64)
-        out[at] = np.where(rule, right[np.where(rule, seq - base, 0)], seq)
-        out[at[rule] - 1] = left[seq[rule] - base]
-        seq = out
-    return seq
+def expansions(left: np.ndarray, right: np.ndarray, size: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, starts): the ids that each rule stands for, end to end.  A rule only uses rules before it."""
+    start = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(int(start[-1]), np.int32)
+    at = start.tolist()
+    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        a = at[k]
+        for z in (x, y):
+            if z < base:
+                out[a] = z
+                a += 1
+            else:
+                n = at[z - base + 1] - at[z - base]
+                out[a : a + n] = out[at[z - base] : at[z - base] + n]
+                a += n
+    return out, start[:-1]
+
+
+def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray], size: np.ndarray, base: int) -> np.ndarray:
+    """Symbols to ids: one gather from the ids of single symbols and those of the rules."""
+    ids, start = table
+    rule = seq >= base
+    which = np.where(rule, seq - base, 0)
+    length = np.where(rule, size[which], 1) if len(size) else np.ones(len(seq), np.int64)
+    if not rule.any():
+        return seq.astype(np.int64)
+    # single symbols are read from a copy of the sequence behind the rules' ids
+    source = np.concatenate((ids, seq.astype(np.int32)))
+    begin = np.where(rule, start[which], len(ids) + np.arange(len(seq)))
+    end = np.cumsum(length)
+    return source[np.repeat(begin - (end - length), length) + np.arange(int(end[-1]))]
 
 
 def _symbol_type(symbols: int) -> str:
@@ -147,11 +168,15 @@ class Shard:
         total = np.concatenate(([0], np.cumsum(size)))
         return np.diff(total[self.first])
 
+    @cached_property
+    def _table(self):
+        return expansions(self.left, self.right, self.size, self.base)
+
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols[self.first[i] : self.first[i + 1]], self.left, self.right, self.base)
+        return expand(self.symbols[self.first[i] : self.first[i + 1]], self._table, self.size, self.base)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.left, self.right, self.base)
+        return expand(self.symbols, self._table, self.size, self.base)
 
 
 def write_store(docs: DataFrame, path: str | None = None, end_id: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:

@@ -131,7 +131,7 @@ def first_digit(docs: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
         h2 = C.span_hash(C.byte_prefix(data, 13), start, end)
         twice, rep = _both_repeated(h1, h2)
         sd, sruns = _marks(ids[row[twice]], (start - off[row])[twice], count[twice])
-        bucket = (mini[rep] >> np.uint64(64 - bits)).astype(np.int64)
+        bucket = (C.mix(mini[rep]) >> np.uint64(64 - bits)).astype(np.int64)  # mixed: the least of many hashes is small
         by = np.argsort(bucket, kind="stable")
         rep, bucket = rep[by], bucket[by]
         cols = [mini, h1, h2, ids[row], start - off[row], count, m - start]

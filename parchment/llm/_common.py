@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: A run of positions is one long: start << RUN_BITS | count.
 RUN_BITS = 24
 RUN_MASK = (1 << RUN_BITS) - 1
@@ -44,8 +44,8 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def tune(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes as well as by rows, as one text may be as long as thousands of others."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -10,7 +10,7 @@ Everything is DataFrame expressions.  The benchmark's windows are broadcast only
 ``BROADCAST_WINDOWS``; beyond that both sides are shuffled by hash.  Only documents with a hit are looked at again, for their slots.
 
 Defined cases: null or empty texts and items have no windows; items with fewer than four literal tokens can't match;
-a null doc_id is returned as clean and not compared; rows that share a doc_id are judged together; repeated items
+a null doc_id is not compared and counts as clean; rows that share a doc_id are judged together; repeated items
 count once; other columns are ignored; an empty benchmark leaves all documents clean.
 """
 
@@ -108,10 +108,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids) for every row of ``docs``."""
-    found = matches(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
-    return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")).alias("item_ids"))
+    """(doc_id, contaminated, n_items, item_ids) of the contaminated documents; item_ids ascend, joined by commas."""
+    found = matches(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SMALL), connection(), queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"op2_decontamination"}))
 def test_query_returns_every_document(spark, name):
     got = queries.QUERIES[name](spark, SMALL).select("doc_id").distinct().count()
     assert got == spark.read.parquet(f"{SMALL}/documents.parquet").count()
@@ -73,7 +73,9 @@ QUESTION = "Maria has 12 apples and gives 5 km of string to the tall man near Pa
 
 def found(spark, rows, items=((1, QUESTION),)):
     bench = spark.createDataFrame(list(items), "item_id long, text string")
-    return {r.doc_id: list(r.item_ids) for r in decontamination.report(cases.documents(spark, rows), bench).collect()}
+    got = decontamination.report(cases.documents(spark, rows), bench).collect()
+    assert all(r.contaminated and r.n_items == len(r.item_ids.split(",")) for r in got)
+    return {r.doc_id: [int(i) for i in r.item_ids.split(",")] for r in got}
 
 
 def test_reworded_parameters_are_caught_and_inconsistent_ones_not(spark):
@@ -81,28 +83,29 @@ def test_reworded_parameters_are_caught_and_inconsistent_ones_not(spark):
     changed = QUESTION.replace("12", "31").replace("5", "9").replace("Paris", "Rome")
     torn = QUESTION.replace("has 12", "has 31").replace("at 12", "at 44")
     rows = [(1, pad + QUESTION), (2, pad + changed), (3, pad + torn), (4, "clean text about nothing at all"), (5, None), (6, ""), (None, QUESTION), (7, QUESTION[: len(QUESTION) // 4])]
-    assert found(spark, rows) == {1: [1], 2: [1], 3: [], 4: [], 5: [], 6: [], None: [], 7: []}
+    assert found(spark, rows) == {1: [1], 2: [1]}
 
 
 def test_short_items_and_empty_benchmarks(spark):
     items = ((1, "the small red fox jumps"), (2, None), (3, ""), (4, "1 2 3 4 5 6 7 8 9"), (1, "the small red fox jumps"))
-    assert found(spark, [(1, "see: the small red fox jumps high"), (2, "9 8 7 6 5 4 3 2 1")], items) == {1: [1], 2: []}
-    assert found(spark, [(1, QUESTION)], ((1, None),)) == {1: []}
+    assert found(spark, [(1, "see: the small red fox jumps high"), (2, "9 8 7 6 5 4 3 2 1")], items) == {1: [1]}
+    assert found(spark, [(1, QUESTION)], ((1, None),)) == {}
 
 
 def test_joins_by_shuffle_agree_with_broadcast(spark, monkeypatch):
     rows = [(1, QUESTION), (2, QUESTION.replace("12", "7")), (3, "nothing here")]
     want = found(spark, rows)
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
-    assert found(spark, rows) == want == {1: [1], 2: [1], 3: []}
+    assert found(spark, rows) == want == {1: [1], 2: [1]}
 
 
 def test_verbatim_items_are_all_found(spark):
     sf = SMALL.replace("0.001", "0.01")
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    got = {r.doc_id: list(r.item_ids) for r in queries.op2_decontamination(spark, sf).collect()}
-    assert got == {d: sorted(i for i, q in items.items() if q in t) for d, t in docs.items()}
+    got = {r.doc_id: [int(i) for i in r.item_ids.split(",")] for r in queries.op2_decontamination(spark, sf).collect()}
+    want = {d: sorted(i for i, q in items.items() if q in t) for d, t in docs.items()}
+    assert got == {d: v for d, v in want.items() if v}
 
 
 def test_pipeline_stages(spark):

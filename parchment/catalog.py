@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parchment.operators import extraction, forum, history, listing, people, retrieval, versions
+from parchment.operators import extraction, forum, history, listing, people, retrieval, upkeep, versions
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, listing, versions, people, history, forum, extraction):
+for _module in (retrieval, listing, versions, people, history, forum, extraction, upkeep):
     QUERIES |= _module.REGISTRY.queries
     ORACLES |= _module.REGISTRY.oracles

@@ -41,3 +41,11 @@ def test_sliding_log_counts_accepted_calls_only(spark):
     df = spark.createDataFrame(data, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) as ts")
     got = [r.allowed for r in sliding_log(df, "user_id", "ts", "event_id", 2, 9.0).orderBy("event_id").collect()]
     assert got == [True, True, False, True, True, False]
+
+
+def test_greedy_pairs_take_the_best_first(spark):
+    from parchment.operators.derivation import greedy_pairs
+
+    data = [("x", 1, 10, 1), ("x", 1, 11, 3), ("x", 2, 11, 3), ("x", 2, 10, 2), ("x", 3, 10, 2), ("y", 1, 10, 1)]
+    got = sorted(tuple(r) for r in greedy_pairs(spark.createDataFrame(data, "block string, a int, b int, score int"), "block", "a", "b").collect())
+    assert got == [("x", 1, 11, 3), ("x", 2, 10, 2), ("y", 1, 10, 1)]

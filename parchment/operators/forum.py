@@ -92,6 +92,6 @@ select target, min_by(pos, (src, pos)) as place, max(src)::int as row_from, stri
 def relevant_provenance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of two sources merged: the first position is kept, the later source's row wins, and all sources are named."""
     a = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("target"), F.lit(1).alias("src"), F.col("s_suppkey").alias("pos"), F.lit("agenda").alias("via"))
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select(F.col("l_suppkey").alias("target"), F.lit(2).alias("src"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.lit("minutes").alias("via"))
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("target"), F.lit(2).alias("src"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.lit("minutes").alias("via"))
     g = a.unionByName(b).groupBy("target").agg(F.min_by("pos", F.struct("src", "pos")).alias("place"), F.max("src").alias("row_from"), F.array_join(F.array_sort(F.collect_set("via")), "+").alias("provenance"))
     return g

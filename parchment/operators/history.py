@@ -109,7 +109,7 @@ def timeline_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 select l_orderkey, starts::int as starts, coalesce(ends, 7)::int as ends, (coalesce(ends, 7) - starts)::int as missing from m""")
 def marker_ranges_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges between markers, each up to the next, and how many numbers have no marker of their own."""
-    m = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber").distinct()
+    m = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     ends = F.coalesce(F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1, F.lit(7)).cast("int")
     return m.select("l_orderkey", F.col("l_linenumber").cast("int").alias("starts"), ends.alias("ends")).withColumn("missing", F.col("ends") - F.col("starts"))
 

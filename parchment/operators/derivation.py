@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +97,7 @@ def excerpt_at_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY("select conv_id, turn, role, length(text)::int as size, (row_number() over (partition by conv_id order by turn))::int as place from conversations where conv_id % 10 = 3 and role <> 'system'")
 def thread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads with their visible replies, oldest first."""
-    c = table(spark, sf_dir, "conversations").where("conv_id % 10 = 3 and role <> 'system'")
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
     return c.select("conv_id", "turn", "role", F.length("text").alias("size"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"))
 
 
@@ -153,10 +155,27 @@ def greedy_pairs(scored: DataFrame, block: str, left: str, right: str) -> DataFr
     return scored.select(*schema.names).groupBy(block).applyInPandas(lambda f: run(f.sort_values(["score", left, right], ascending=[False, True, True])), schema)
 
 
+def residue_pairs(left: DataFrame, right: DataFrame, block: str, a: str, b: str, moduli: tuple[int, ...] = (100, 10, 5)) -> DataFrame:
+    """``greedy_pairs`` of keys that score by the first modulus they agree in, the best score first; keys are unique and not null.
+
+    Whoever agrees in a residue agrees with all of that residue, so the greedy rule takes the k-th left with the k-th right
+    of each (block, residue), and one side at most is left for the next modulus. No pair is made that isn't kept.
+    """
+    rest = left.select(block, a, F.lit(None).cast(right.schema[b].dataType).alias(b)).unionByName(right.select(block, F.lit(None).cast(left.schema[a].dataType).alias(a), b)).where(F.col(block).isNotNull())
+    parts = []
+    for score, modulus in zip(range(len(moduli), 0, -1), moduli, strict=True):
+        key = F.coalesce(a, b)
+        place = F.row_number().over(Window.partitionBy(block, "_residue", F.col(a).isNull()).orderBy(key))
+        met = rest.withColumn("_residue", key % modulus).withColumn("_place", place).groupBy(block, "_residue", "_place").agg(F.max(a).alias(a), F.max(b).alias(b))
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        parts.append(met.where(both).select(block, a, b, F.lit(score).alias("score")))
+        rest = met.where(~both).select(block, a, b)
+    return reduce(DataFrame.unionByName, parts)
+
+
 @REGISTRY()
 def pair_names_to_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People and accounts of a nation paired greedily by how much of their numbers agrees."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 400").select(F.col("c_nationkey").alias("nation"), "c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey")
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
-    score = F.when(F.col("c_custkey") % 100 == F.col("s_suppkey") % 100, 3).when(F.col("c_custkey") % 10 == F.col("s_suppkey") % 10, 2).when(F.col("c_custkey") % 5 == F.col("s_suppkey") % 5, 1)
-    return greedy_pairs(c.join(s, "nation").withColumn("score", score).where("score is not null"), "nation", "c_custkey", "s_suppkey")
+    return residue_pairs(c, s, "nation", "c_custkey", "s_suppkey")

@@ -1,5 +1,7 @@
 """Queries over whole tables: held against SQL without bounds, or against brute force."""
 
+import random
+
 import pytest
 
 from parchment import catalog
@@ -17,6 +19,7 @@ WHOLE = {
     select l_orderkey, starts::int as starts, ends::int as ends, (ends - starts)::int as missing from m""",
     "relevant_provenance_merge": """with a as (select s_suppkey as target, s_suppkey as first from supplier where s_suppkey % 2 = 0), b as (select l_suppkey as target, min(l_orderkey * 8 + l_linenumber) as first from lineitem group by 1)
     select target, coalesce(a.first, b.first) as place, case when b.first is null then 1 else 2 end as row_from, case when a.first is null then 'minutes' when b.first is null then 'agenda' else 'agenda+minutes' end as provenance from a full join b using (target)""",
+    "thread_view": "select conv_id, turn, role, length(text)::int as size, (row_number() over (partition by conv_id order by turn))::int as place from conversations where role <> 'system'",
 }
 
 
@@ -24,3 +27,33 @@ WHOLE = {
 def test_query_reads_the_whole_tables(spark, name):
     sf = LARGE if name == "relevant_provenance_merge" else SF
     assert_same(catalog.QUERIES[name](spark, sf), connection(sf), WHOLE[name])
+
+
+def brute_pairs(people, accounts):
+    """The greedy rule as it is stated: all pairs of a block, the best first, each side once."""
+    score = lambda a, b: next((s for s, m in ((3, 100), (2, 10), (1, 5)) if a % m == b % m), 0)
+    out, used_a, used_b = [], set(), set()
+    for s, n, a, b in sorted((-score(a, b), n, a, b) for n, a in people for k, b in accounts if n == k and score(a, b)):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            out.append((n, a, b, -s))
+    return sorted(out)
+
+
+def test_all_people_are_paired_as_by_brute_force(spark):
+    read = lambda t, n, k: [tuple(r) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(n, k).collect()]
+    want = brute_pairs(read("customer", "c_nationkey", "c_custkey"), read("supplier", "s_nationkey", "s_suppkey"))
+    got = catalog.QUERIES["pair_names_to_accounts"](spark, SF)
+    assert sorted((r.nation, r.c_custkey, r.s_suppkey, r.score) for r in got.collect()) == want
+    assert max(a for _, a, _, _ in want) >= 400
+
+
+def test_residue_pairs_where_accounts_outnumber_people(spark):
+    from parchment.operators.derivation import residue_pairs
+
+    r = random.Random(5)
+    people, accounts = ([(r.randint(1, 3), k) for k in r.sample(range(1000), n)] for n in (150, 250))
+    got = residue_pairs(spark.createDataFrame(people, "n int, a long"), spark.createDataFrame([*accounts, (None, 5000)], "n int, b long"), "n", "a", "b")
+    want = brute_pairs(people, accounts)
+    assert sorted(tuple(r) for r in got.collect()) == want and {s for *_, s in want} == {1, 2, 3}

@@ -1,6 +1,7 @@
 """Queries over whole tables: held against SQL without bounds, or against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -57,3 +58,47 @@ def test_residue_pairs_where_accounts_outnumber_people(spark):
     got = residue_pairs(spark.createDataFrame(people, "n int, a long"), spark.createDataFrame([*accounts, (None, 5000)], "n int, b long"), "n", "a", "b")
     want = brute_pairs(people, accounts)
     assert sorted(tuple(r) for r in got.collect()) == want and {s for *_, s in want} == {1, 2, 3}
+
+
+def one_edit(a, b):
+    """By the definition: one letter struck, put in or changed."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def brute_components(names):
+    left, out = set(names), {}
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            x = todo.pop()
+            group.add(x)
+            left.discard(x)
+            near = {y for y in left if one_edit(x, y)}
+            left -= near
+            todo += near
+        out |= {x: min(group) for x in group}
+    return out
+
+
+def test_names_are_compared_whole(spark, tmp_path):
+    long = "a" * 60 + "bcdefghij" * 10
+    texts = [
+        "Christine went", "christina", "christophe", "christoph", "Peters said", "petersen", "petersens", "garciaé x", "garcia", "muñozes", "munozes", "four", "", None,
+        long, long + "k", long[:-1] + "z", long[:120] + "qq", "straße-5", "strase", "5 apples",
+    ]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {re.match(r"[^\W\d_]*", (t or "").lower())[0] for t in texts}
+    want = brute_components({n for n in names if len(n) >= 5})
+    got = {r.name: r.component for r in catalog.QUERIES["name_typo_components"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert got["christine"] == "christina" and got["christoph"] == got["christophe"] and got["peters"] == "peters" and got["petersens"] == "petersen"
+
+
+def test_names_of_a_table_against_brute_force(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    names = {re.match(r"[^\W\d_]*", t.lower())[0] for t in texts}
+    got = {r.name: r.component for r in catalog.QUERIES["name_typo_components"](spark, SF).collect()}
+    assert got == brute_components({n for n in names if len(n) >= 5})

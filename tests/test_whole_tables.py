@@ -21,6 +21,8 @@ WHOLE = {
     "relevant_provenance_merge": """with a as (select s_suppkey as target, s_suppkey as first from supplier where s_suppkey % 2 = 0), b as (select l_suppkey as target, min(l_orderkey * 8 + l_linenumber) as first from lineitem group by 1)
     select target, coalesce(a.first, b.first) as place, case when b.first is null then 1 else 2 end as row_from, case when a.first is null then 'minutes' when b.first is null then 'agenda' else 'agenda+minutes' end as provenance from a full join b using (target)""",
     "thread_view": "select conv_id, turn, role, length(text)::int as size, (row_number() over (partition by conv_id order by turn))::int as place from conversations where role <> 'system'",
+    "date_offset_self_join": """with p as (select a.o_orderkey as key_a, b.o_orderkey as key_b, date_diff('day', a.o_orderdate::date, b.o_orderdate::date)::int as days from orders a join orders b on a.o_custkey = b.o_custkey)
+    select * from p where days between 6 and 43 and (days + 1) % 7 < 3""",
 }
 
 

@@ -3,13 +3,16 @@
 Texts become sequences of tokens in which numbers, units after numbers, and names (capitalised inside a sentence) are
 typed placeholders, by whole-string replacements.  Windows of ``WINDOW`` tokens of the benchmark are joined by hash with those of every document, so a
 question whose numbers and names were changed still matches.  For one alignment of an item with a document, each slot
-value of the item must stand for one value throughout; where it doesn't, the match is chance and is dropped.  A document
-is contaminated if a consistent alignment matches ``LEAST`` windows (13 tokens), or all windows of a shorter item.
+value of the item must stand for one value throughout; where it doesn't, the match is chance and is dropped.  Windows of
+fewer than ``LITERALS`` literal tokens are compared by their raw tokens, and so are, besides by template, all windows of items
+of at most ``LEAST``, as the words before a copy can make a name or unit of its first token.  A document is contaminated if a
+consistent alignment matches ``LEAST`` windows (13 tokens), or all windows of a shorter item, or all windows with
+enough literals of an item that has fewer than ``LEAST`` of them.  So a verbatim copy is always found.
 
 Everything is DataFrame expressions.  The benchmark's windows are broadcast only while they number at most
 ``BROADCAST_WINDOWS``; beyond that both sides are shuffled by hash.  Only documents with a hit are looked at again, for their slots.
 
-Defined cases: null or empty texts and items have no windows; items with fewer than four literal tokens can't match;
+Defined cases: null or empty texts and items have no windows; items with fewer than four literal tokens match word for word only;
 a null doc_id is not compared and counts as clean; rows that share a doc_id are judged together; repeated items
 count once; other columns are ignored; an empty benchmark leaves all documents clean.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 8
@@ -68,29 +71,35 @@ def values(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(_plain(text), F.lit(_RAW), F.lit(0)), F.lower)
 
 
-def _windows(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """(keep, pos from 1, h) of each window of ``size`` tokens of ``tpl``."""
+def _windows(rows: DataFrame, size: int, *keep: str, of: str = "tpl") -> DataFrame:
+    """(keep, pos from 1, h) of each window of ``size`` tokens of ``of``."""
     # an outer explode of one expression: a filter on it, written or inferred, would compute the template twice
-    hashes = _let(F.col("tpl"), lambda x: F.when(F.size(x) >= size, F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.xxhash64(F.slice(x, i, size)))))
+    hashes = _let(F.col(of), lambda x: F.when(F.size(x) >= size, F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.xxhash64(F.slice(x, i, size)))))
     return rows.select(*keep, F.posexplode_outer(hashes).alias("_p", "h")).select(*keep, (F.col("_p") + 1).alias("pos"), "h")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows) of the consistent alignments that contaminate; one row a document and item."""
     items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).dropDuplicates([item]).select(F.col(item).cast("long").alias(item), template(F.col(item_text)).alias("tpl"), values(F.col(item_text)).alias("val"))
-    items = items.where(F.size("tpl") >= LITERALS).withColumn("size", F.least(F.size("tpl"), F.lit(window)))
+    items = items.where(F.size("tpl") > 0).withColumn("size", F.least(F.size("tpl"), F.lit(window)))
     texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
-    tokens = texts.select(key, "_text", template(F.col("_text")).alias("tpl"))
+    tokens = {"tpl": texts.select(key, "_text", template(F.col("_text")).alias("tpl")), "val": texts.select(key, "_text", values(F.col("_text")).alias("val"))}
     parts = []
     for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most ``window`` values
-        own = _windows(items.where(F.col("size") == size), size, item, "tpl", "val").select(
-            "h", item, F.col("pos").alias("ipos"), F.least(F.size("tpl") - size + 1, F.lit(least)).alias("need"), F.slice("tpl", F.col("pos"), size).alias("itpl"), F.slice("val", F.col("pos"), size).alias("ival"),
-        ).where(F.size(F.filter("itpl", lambda t: ~t.startswith(_MARK))) >= LITERALS)
-        hit = F.struct("pos", item, "ipos", "need", "itpl", "ival").alias("hit")
-        if own.count() <= BROADCAST_WINDOWS:
-            parts.append(_windows(tokens, size, key, "_text").join(F.broadcast(own), "h").select(key, "_text", hit))
-        else:
-            parts.append(_windows(tokens, size, key).join(own, "h").select(key, hit).join(texts, key).select(key, "_text", "hit"))
+        all_ = _windows(items.where(F.col("size") == size), size, item, "tpl", "val").select(
+            item, F.col("pos").alias("ipos"), (F.size("tpl") - size + 1).alias("n_all"), F.slice("tpl", F.col("pos"), size).alias("itpl"), F.slice("val", F.col("pos"), size).alias("ival"),
+        ).withColumn("literal", F.size(F.filter("itpl", lambda t: ~t.startswith(_MARK))) >= LITERALS)
+        all_ = all_.withColumn("need_literal", F.least(F.count_if("literal").over(Window.partitionBy(item)).cast("int"), F.lit(least))).withColumn("need", F.least("n_all", F.lit(least)))
+        hit = F.struct("pos", item, "ipos", "need", "need_literal", "raw", "itpl", "ival").alias("hit")
+        for of, some in (("tpl", all_.where("literal").withColumn("h", F.xxhash64("itpl"))), ("val", all_.where(~F.col("literal") | (F.col("n_all") <= least)).withColumn("h", F.xxhash64("ival")))):
+            own = some.select("h", item, "ipos", "need", "need_literal", F.lit(of == "val").alias("raw"), "itpl", "ival")
+            n = own.count()
+            if n == 0:  # the documents aren't read for it
+                continue
+            if n <= BROADCAST_WINDOWS:
+                parts.append(_windows(tokens[of], size, key, "_text", of=of).join(F.broadcast(own), "h").select(key, "_text", hit))
+            else:
+                parts.append(_windows(tokens[of], size, key, of=of).join(own, "h").select(key, hit).join(texts, key).select(key, "_text", "hit"))
     if not parts:
         return docs.sparkSession.createDataFrame([], f"{key} long, {item} long, n_windows long")
     # only documents with a hit go on, each with its text once
@@ -98,13 +107,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     hits = hits.select(key, template(F.col("_text")).alias("tpl"), values(F.col("_text")).alias("val"), "hits")
     hits = hits.select(key, "tpl", "val", F.explode("hits").alias("hit")).select(key, "tpl", "val", "hit.*")  # after the tokens, or they are made for every hit
     at = lambda c: F.slice(c, F.col("pos"), F.size("itpl"))
-    found = hits.where(at("tpl") == F.col("itpl")).select(
-        key, item, "need", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos",
+    found = hits.where(F.when(F.col("raw"), at("val") == F.col("ival")).otherwise(at("tpl") == F.col("itpl"))).select(
+        key, item, "need", "need_literal", "raw", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos",
         F.transform(F.filter(F.arrays_zip("itpl", "ival", at("val").alias("dval")), lambda z: z["itpl"].startswith(_MARK)), lambda z: F.struct(z["ival"].alias("i"), z["dval"].alias("d"))).alias("slots"),
     )
-    aligned = found.groupBy(key, item, "need", "shift").agg(F.countDistinct("ipos").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    aligned = found.groupBy(key, item, "need", "need_literal", "shift").agg(
+        F.size(F.collect_set("ipos")).alias("n"), F.size(F.collect_set(F.when(~F.col("raw"), F.col("ipos")))).alias("n_literal"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    )
     sound = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    return aligned.where(sound & (F.col("n") >= F.col("need"))).groupBy(key, item).agg(F.max("n").alias("n_windows"))
+    enough = (F.col("n") >= F.col("need")) | ((F.col("need_literal") > 0) & (F.col("n_literal") >= F.col("need_literal")))
+    return aligned.where(sound & enough).groupBy(key, item).agg(F.max("n").cast("long").alias("n_windows"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

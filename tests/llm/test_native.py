@@ -99,6 +99,28 @@ def test_joins_by_shuffle_agree_with_broadcast(spark, monkeypatch):
     assert found(spark, rows) == want == {1: [1], 2: [1]}
 
 
+#: Windows or whole items with few literal tokens: numbers, title case, capitals, two words.
+DENSE = (
+    (1, "Add 12, 30, 45 and 7, then subtract 9 from the total sum"), (2, "What is 12 + 30 * 4?"), (3, "The Great Barrier Reef Of Northern Queensland"), (4, "WHO WROTE THE OLD NOVEL ABOUT WHALES"),
+    (5, "the list that follows holds 1 2 3 4 5 6 7 8 9 10 11 12 13 14 and nothing more than that"), (6, "Name Nine"), (7, "Give the capital of France please"),
+)
+
+
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_WINDOWS, 0])
+def test_verbatim_items_of_few_literals_are_found(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", broadcast)
+    copies = [(i, q + " and so on") for i, q in DENSE] + [(10 * i, "It asks: " + q + " and so on") for i, q in DENSE]
+    assert found(spark, copies, DENSE) == {k * i: [i] for i, _ in DENSE for k in (1, 10)}
+
+
+def test_reworded_items_of_few_literals(spark):
+    rows = [
+        (1, "Some words. Add 31, 22, 54 and 8, then subtract 6 from the total sum"), (2, "What is 13 + 31 * 5?"), (3, "The Great Barrier Wall Of Northern Queensland"), (5, "holds 1 2 3 4 5 6 and 7 8 9 10 more"), (6, "Name Ten"),
+        (8, "Add 12, 30, 45 and 7, then divide 9 by the total sum"),
+    ]
+    assert found(spark, rows, DENSE) == {1: [1]}  # numbers changed where the words around them tell the item
+
+
 def test_verbatim_items_are_all_found(spark):
     sf = SMALL.replace("0.001", "0.01")
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -28,9 +28,14 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """A new folder for a written intermediate table, in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local session gets a folder of this machine; on a cluster other machines couldn't see it.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file:/tmp/checkpoints"
     return f"{base.rstrip('/')}/parchment-{uuid.uuid4().hex}"
 

@@ -49,7 +49,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.findings(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.joined_back(docs, secret_scan.scanned_in_parts(docs)))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

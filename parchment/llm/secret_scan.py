@@ -2,7 +2,8 @@
 
 Every version of every path is addressed by the SHA-256 of its text.  A blob is scanned once for each (rule, version)
 that the ledger doesn't hold yet, and its findings are joined back to all paths and versions that have that content.
-All of it is DataFrame operations: matches and the gaps between them come from the same regular expression, so that
+The ledger only grows: an increment appends the entries of unseen pairs, and blobs that no table has any more stay in it,
+so that they aren't scanned anew when they come back.  All of it is DataFrame operations: matches and the gaps between them come from the same regular expression, so that
 positions are running sums of lengths in code points.
 
 Defined cases: a null text is empty; a null path or id is carried through; repeated rows return a row each; an empty
@@ -14,9 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _common as C
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -60,51 +63,76 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, found) for every blob of ``blobs`` (blob, text, todo: array of rule keys); found lists what those rules match."""
     parts = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.key).alias("rule"), F.lit(r.least).alias("least"), F.when(F.array_contains("todo", r.key), _parts(r, F.col("text"))).alias("parts")) for r in rules])
     each = blobs.select("blob", F.explode(parts).alias("r")).select("blob", "r.kind", "r.rule", "r.least", F.posexplode_outer("r.parts").alias("k", "part"))
-    run = F.sum(F.col("part.gap") + F.coalesce("part.len", F.lit(0))).over(_by_position())
+    by_position = Window.partitionBy("blob", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum(F.col("part.gap") + F.coalesce("part.len", F.lit(0))).over(by_position)
     placed = each.withColumn("end", run.cast("long"))
     hit = F.col("part.len").isNotNull() & (F.col("part.counted") >= F.col("least"))
     return placed.groupBy("blob").agg(F.collect_list(F.when(hit, F.struct("rule", "kind", (F.col("end") - F.col("part.len")).alias("start"), "end"))).alias("found"))
 
 
-def _by_position():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("blob", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+ENTRIES = "blob binary, rules array<string>, found array<struct<rule:string,kind:string,start:bigint,end:bigint>>"
 
 
-def ledger_of(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """(blob, rules, found): the entries for the blobs of ``versions``, scanned for what ``ledger`` doesn't hold.
+def new_entries(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """(blob, rules, found) for the blobs of ``versions`` that ``ledger`` lacks under some current rule version.
 
-    ``ledger`` has these columns; entries of other rule versions are kept in it, and findings of current rules returned.
+    Only the missing (blob, rule version) pairs are scanned.  These rows are what an increment appends to the ledger.
     """
     keys = F.array(*[F.lit(r.key) for r in rules])
+    # copies meet as one row a task: the aggregate combines before the shuffle
     blobs = versions.select(content_address(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
-        todo = blobs.withColumn("todo", keys)
-        fresh = scan(todo, rules)
-        return fresh.select("blob", keys.alias("rules"), "found")
-    held = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("held"), F.flatten(F.collect_list("found")).alias("old"))
-    todo = blobs.join(held.select("blob", "held"), "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("held", F.expr("cast(array() as array<string>)"))))
-    fresh = scan(todo.where(F.size("todo") > 0).select("blob", "text", "todo"), rules)
-    all_blobs = todo.select("blob").join(held, "blob", "left").join(fresh, "blob", "left")
-    none = F.expr("cast(array() as array<struct<rule:string,kind:string,start:bigint,end:bigint>>)")
-    return all_blobs.select("blob", F.array_union(F.coalesce("held", F.expr("cast(array() as array<string>)")), keys).alias("rules"), F.concat(F.coalesce("old", none), F.coalesce("found", none)).alias("found"))
+        return scan(blobs.withColumn("todo", keys), rules).select("blob", keys.alias("rules"), "found")
+    held = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("held"))
+    todo = blobs.join(held, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("held", F.expr("cast(array() as array<string>)"))))
+    return scan(todo.where(F.size("todo") > 0).select("blob", "text", "todo"), rules).select("blob", keys.alias("rules"), "found")
+
+
+def merged(entries: DataFrame) -> DataFrame:
+    """One row a blob of a ledger whose increments were appended; all of its rule versions and findings."""
+    return entries.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.flatten(F.collect_list("found")).alias("found"))
+
+
+def ledger_of(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger after ``versions``: every entry that ``ledger`` holds, of blobs that are gone too, and the new ones."""
+    fresh = new_entries(versions, ledger, rules, text)
+    return fresh if ledger is None else merged(ledger.select("blob", "rules", "found").unionByName(fresh))
+
+
+def scanned_in_parts(versions: DataFrame, parts: int = 2, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The written ledger of ``versions``, fed in ``parts`` increments: each is appended, reread, and spares the next its blobs."""
+    spark = versions.sparkSession
+    path, ledger = C.scratch_dir(spark), None
+    for k in range(parts):
+        part = versions.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k)
+        new_entries(part, ledger, rules, text).write.mode("append").parquet(path)
+        ledger = spark.read.schema(ENTRIES).parquet(path)
+    return ledger
 
 
 def content_address(text: str = "text") -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``versions`` with ``spans``: array of (kind, start, end) by start, then kind as listed; empty where there are none."""
+def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "spans") -> DataFrame:
+    """``versions`` with ``name``: array of (kind, start, end) by start, then kind as listed; empty where there are none.
+
+    Blobs that ``ledger`` lacks are scanned.  The entries with findings are written and read again, so that both sides of
+    the join back are plain exchanges by blob, which adaptive execution splits where a blob has very many versions.
+    """
+    return joined_back(versions, ledger_of(versions, ledger, rules, text), rules, text, name)
+
+
+def joined_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "spans") -> DataFrame:
+    """``versions`` with the spans that the complete ledger holds for them under ``rules``."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     current = F.array(*[F.lit(r.key) for r in rules])
-    entries = ledger_of(versions, ledger, rules, text)
-    ordered = F.array_sort(F.transform(F.filter("found", lambda f: F.array_contains(current, f["rule"])), lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("place"), f["end"].alias("end"), f["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("found", lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("place"), f["end"].alias("end"), f["kind"].alias("kind"))))
     spans = F.transform(ordered, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-    entries = entries.select(F.col("blob").alias("_blob"), spans.alias("spans"))
-    addressed = versions.withColumn("_blob", content_address(text))
-    return addressed.join(entries, "_blob", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})"))).drop("_blob")
+    some = ledger.withColumn("found", F.filter("found", lambda f: F.array_contains(current, f["rule"]))).where(F.size("found") > 0)
+    hits = C.written(merged(some).select(F.col("blob").alias("_parchment_blob"), spans.alias("_parchment_spans")))
+    addressed = versions.withColumn("_parchment_blob", content_address(text))
+    return addressed.join(hits, "_parchment_blob", "left").withColumn(name, F.coalesce("_parchment_spans", F.expr(f"cast(array() as {SPAN})"))).drop("_parchment_blob", "_parchment_spans")
 
 
 def spelled(spans: Column) -> Column:
@@ -124,14 +152,14 @@ def redacted(versions: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
     Overlapping spans are merged first.  The text is rebuilt from the pieces between spans.
     """
     cols = versions.columns
-    merged = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
+    joined = F.aggregate(
+        "_parchment_found", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda acc, f: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= f["start"]),
                               F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], f["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(F.struct(f["start"].alias("start"), f["end"].alias("end"))))))
-    found = findings(versions, text=text).withColumn("_m", merged)
-    cut = F.transform(F.sequence(F.lit(0), F.size("_m")), lambda i: F.struct(
-        F.when(i == 0, F.lit(0)).otherwise(F.get("_m", i - 1)["end"]).alias("a"),
-        F.when(i == F.size("_m"), F.length(text)).otherwise(F.get("_m", i)["start"]).alias("b")))
+    found = findings(versions, text=text, name="_parchment_found").withColumn("_parchment_cut", joined)
+    cut = F.transform(F.sequence(F.lit(0), F.size("_parchment_cut")), lambda i: F.struct(
+        F.when(i == 0, F.lit(0)).otherwise(F.get("_parchment_cut", i - 1)["end"]).alias("a"),
+        F.when(i == F.size("_parchment_cut"), F.length(text)).otherwise(F.get("_parchment_cut", i)["start"]).alias("b")))
     pieces = F.transform(cut, lambda c: F.substring(F.col(text), (c["a"] + 1).cast("int"), (c["b"] - c["a"]).cast("int")))
-    return found.withColumn(text, F.when(F.size("_m") > 0, F.array_join(pieces, mark)).otherwise(F.col(text))).select(*cols)
+    return found.withColumn(text, F.when(F.size("_parchment_cut") > 0, F.array_join(pieces, mark)).otherwise(F.col(text))).select(*cols)

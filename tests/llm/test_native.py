@@ -62,6 +62,28 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert secret_scan.digest(secret_scan.findings(cases.empty(spark))).count() == 0
 
 
+def test_the_ledger_keeps_blobs_that_are_gone(spark):
+    first = secret_scan.C.written(secret_scan.ledger_of(cases.documents(spark, [(1, "token=abcdefghijklmnop")])))
+    ledger = secret_scan.C.written(secret_scan.ledger_of(cases.documents(spark, [(2, "AKIA" + "B" * 20)]), first))
+    assert ledger.count() == 2
+    assert secret_scan.new_entries(cases.documents(spark, [(9, "token=abcdefghijklmnop")]), ledger).count() == 0  # it comes back and isn't scanned
+    newer = (secret_scan.Rule("access", "AKIA[A-Z0-9]+", 0, 18, version=2), *secret_scan.RULES[2:3])
+    assert secret_scan.new_entries(cases.documents(spark, [(2, "AKIA" + "B" * 20)]), ledger, newer).first().found[0].rule == "access@2"
+
+
+def test_increments_agree_with_one_scan(spark):
+    docs = cases.documents(spark, [*enumerate(secret_texts()), *((5000 + i, t) for i, t in enumerate(secret_texts()[:50])), (None, "token=abcdefghijklmnop"), (None, None)])
+    ledger = secret_scan.scanned_in_parts(docs, 3)
+    assert ledger.count() == ledger.select("blob").distinct().count()
+    rows = lambda df: sorted((str(r.doc_id), r.spans) for r in secret_scan.digest(df).collect())
+    assert rows(secret_scan.joined_back(docs, ledger)) == rows(secret_scan.findings(docs))
+
+
+def test_columns_with_the_names_of_results_stay(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", "mine", b"x", "k")], "doc_id long, text string, spans string, blob binary, found string")
+    assert [tuple(r) for r in secret_scan.redacted(docs).collect()] == [(1, "[SECRET]", "mine", b"x", "k")]
+
+
 def test_redaction_replaces_spans_and_nothing_else(spark):
     rows = [(1, "a token=abcdefghijklmnop b 0123456789abcdef c"), (2, "é clean 😀"), (3, None), (4, "secret=0123456789abcdef0123")]
     got = {r.doc_id: r.text for r in secret_scan.redacted(cases.documents(spark, rows)).collect()}

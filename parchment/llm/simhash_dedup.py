@@ -184,7 +184,8 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     marked = C.written(fingerprints(docs, shingle))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     joined = components(links(classes, C.bucket_count(docs)))
-    own = classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # written, so that the join below reads two plain exchanges and adaptive execution can split a fingerprint of many rows
+    own = C.written(classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return marked.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

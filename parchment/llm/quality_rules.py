@@ -79,13 +79,13 @@ class LabelModel:
         return self
 
 
-def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_stats columns, base_failed, posterior, kept), a row for every row.
+def judge(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text_stats columns, base_failed, posterior, kept, the long columns ``carry``), a row for every row.
 
     The statistics are written once; voting, counting and the verdict read them and not the text.
     """
     votes = rules()
-    voted = C.written(text_stats.stats(docs).withColumn("votes", F.concat(*[(v + 1).cast("string") for v in votes.values()])))
+    voted = C.written(text_stats.stats(docs, *carry).withColumn("votes", F.concat(*[(v + 1).cast("string") for v in votes.values()])))
     rows = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3^rules
     patterns = np.array([[int(c) - 1 for c in r["votes"]] for r in rows], np.int64).reshape(len(rows), len(votes))
     model = LabelModel(len(votes)).fit(patterns, np.array([r["n"] for r in rows], np.float64))
@@ -97,6 +97,8 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept.  A repeated doc_id goes if all its rows are rejected; null ids are judged apart."""
-    judged = judge(docs, threshold)
-    good = judged.where("kept").select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).alias("_kept")).distinct()
-    return docs.withColumn("_kept", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).join(good, "_kept", "left_semi").select(*docs.columns)
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id are told apart by their text
+    keyed = docs.withColumn("_parchment_key", own)
+    good = judge(keyed, threshold, ("_parchment_key",)).where("kept").select(F.col("doc_id").alias("_parchment_id"), F.col("_parchment_key").alias("_parchment_own")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_parchment_id")) & F.col("_parchment_key").eqNullSafe(F.col("_parchment_own"))
+    return keyed.join(good, same, "left_semi").select(*docs.columns)

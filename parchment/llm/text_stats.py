@@ -103,10 +103,11 @@ def document_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 
+def stats(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, COLUMNS and the long columns ``carry`` for every row."""
+    C.tune(docs.sparkSession)
 
+    def one(batch, data, off):
+        yield {"doc_id": C.column(batch, "doc_id"), **document_stats(data, off), **{c: C.column(batch, c) for c in carry}}
 
-
-def stats(docs: DataFrame) -> DataFrame:
-    """doc_id and COLUMNS for every row."""
-    C.tune(docs.sparkSession)
-    return C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda batch, data, off: [{"doc_id": C.column(batch, "doc_id"), **document_stats(data, off)}], f"doc_id long, {DDL}")
+    return C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), one, ", ".join(["doc_id long", DDL, *(f"{c} long" for c in carry)]))

@@ -55,6 +55,15 @@ def test_rules_keep_good_documents(spark):
     assert n.get((0, True), 0) / (n[0, False] + n.get((0, True), 0)) < 0.1
 
 
+def test_rows_without_an_id_are_judged_apart(spark):
+    good = next(r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 600 and lang = 'en'").orderBy("doc_id").collect() if "|" not in r.text)
+    rows = [(None, good), (None, "x y"), (1, good), (1, "x y"), (2, "x y"), (-(1 << 62), "x y")]
+    docs = cases.documents(spark, rows).withColumn("_kept", quality_rules.F.lit(7)).withColumn("n_words", quality_rules.F.lit("w"))
+    got = quality_rules.keep(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text == good) for r in got.collect()) == [("1", False), ("1", True), ("None", True)]
+
+
 def auc(score, label):
     pos, neg = score[label == 1], score[label == 0]
     return (pos[:, None] > neg[None]).mean() + 0.5 * (pos[:, None] == neg[None]).mean()

@@ -1,17 +1,19 @@
 """Token ids stored in doc_id order as Re-Pair grammars, with random access by document.
 
 A shard holds consecutive documents of about ``SHARD_IDS`` ids.  Re-Pair replaces frequent adjacent pairs of symbols by
-nonterminals, round after round, each round taking the most frequent pairs of the shard at once (where occurrences
-overlap, the more frequent pair wins).  The shard stores the rules, the length that each symbol expands to, the
-remaining symbols, and for each document its first symbol, so one document is decoded without the others.  No pair
-spans two documents.
+nonterminals, round after round, each round taking the frequent pairs of the shard at once (where occurrences overlap,
+the more frequent pair wins), until no pair occurs ``LEAST_COUNT`` times.  The shard stores the rules, the length that
+each symbol expands to, the remaining symbols, and for each document its first symbol, so one document is decoded
+without the others.  No pair spans two documents.
 
-A shard is one binary value, and shards are rows of a Parquet table in the shared folder, so that Spark's committer
-makes the write safe when executors are lost, in any file system that Spark reaches.
+A shard is one binary value beside the list of its documents, so ``documents`` finds the shards of some ids without
+opening the others.  Shards are rows of a Parquet table in the shared folder, so that Spark's committer makes the write
+safe when executors are lost, in any file system that Spark reaches.
 
 Shard layout, little-endian: magic "RPG1"; five uint32: documents, rules, symbols, ids, first nonterminal; int64 doc ids;
 uint8 1 where the doc id is null; uint32 first symbol of each document and one more; uint32 left and right symbols of
-the rules; uint32 expansion lengths of the rules; the symbols, as uint16 where all symbols are below 65536, else uint32.
+the rules; uint32 expansion lengths of the rules; the low uint16 of all symbols; their high
+uint8, where there are more than 65536 symbols.
 
 Defined cases: a null or empty text is the end id alone; null doc ids come first; rows that share a doc_id follow each
 other, ordered by the hash of their text; a text of any length stays in one shard; other columns are ignored; an empty
@@ -35,11 +37,9 @@ from . import tokenization
 
 END = 2
 SHARD_IDS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 4000
-LEAST_COUNT = 16
+LEAST_COUNT = 16  #: a pair seen this often in a shard is replaced; at the end no pair is
 BIN_BITS = 17  #: the tables of bins stay in a core's cache
-_SHARDS = "part int, shard int, start long, n_ids long, blob binary"
+_SHARDS = "part int, shard int, start long, n_ids long, doc_ids array<long>, blob binary"
 
 
 def _cells(key: np.ndarray) -> np.ndarray:
@@ -47,62 +47,103 @@ def _cells(key: np.ndarray) -> np.ndarray:
 
 
 def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right): rule k stands for symbols left[k], right[k] and has the number base + k."""
+    """(symbols, left, right): rule k stands for symbols left[k], right[k] and has the number base + k.
+
+    Rounds go on until no pair inside a document occurs ``LEAST_COUNT`` times.  After the first, only pairs with a new
+    symbol, or frequent ones left over, can be frequent, so a round looks at those places alone.
+    """
     seq = ids.astype(np.int64)
-    left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends = np.zeros(base + ROUNDS * RULES_A_ROUND, bool)  # symbols whose expansion ends a document
+    lefts, rights, rules = [], [], 0
+    ends = np.zeros(base, bool)  # symbols whose expansion ends a document
     ends[last] = True
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        key = seq[:-1] << 32 | seq[1:]
+    live = np.flatnonzero(~ends[seq[:-1]])  # places whose pair may be frequent
+    while len(live):
+        key = seq[live] << 32 | seq[live + 1]
         # a pair can only be frequent if its bin is: the others are never sorted
         cell = _cells(key)
         busy = np.bincount(cell, minlength=1 << BIN_BITS) >= LEAST_COUNT
-        pairs, counts = np.unique(key[np.flatnonzero(busy[cell] & ~ends[seq[:-1]])], return_counts=True)
+        some = busy[cell]
+        live, key, cell = live[some], key[some], cell[some]
+        pairs, counts = np.unique(key, return_counts=True)
         frequent = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(frequent):
             break
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:RULES_A_ROUND]]
-        chosen = pairs[frequent]  # most frequent first
+        chosen = pairs[frequent[np.argsort(-counts[frequent], kind="stable")]]  # most frequent first
         home = np.zeros(1 << BIN_BITS, np.int32)  # 1 + index in chosen; of two in one bin the more frequent stays, the other waits a round
-        home[_cells(chosen)[::-1]] = np.arange(len(chosen), 0, -1)
+        homes = _cells(chosen)
+        home[homes[::-1]] = np.arange(len(chosen), 0, -1)
         at = home[cell] - 1
         is_pair = (at >= 0) & (chosen[at] == key)
-        score = np.zeros(len(key) + 2, np.int32)
-        score[1:-1] = np.where(is_pair, len(chosen) - at, 0)
-        here, before, after = score[1:-1], score[:-2], score[2:]
-        run_start = np.maximum.accumulate(np.where(here != before, np.arange(len(key)), 0))
-        take = np.flatnonzero((here > 0) & (here >= before) & (here >= after) & ((np.arange(len(key)) - run_start) % 2 == 0))
-        if not len(take):
-            break
-        used, rule = np.unique(at[take], return_inverse=True)
-        first = base + len(left)
-        left, right = np.concatenate((left, chosen[used] >> 32)), np.concatenate((right, chosen[used] & 0xFFFFFFFF))
-        ends[first : first + len(used)] = ends[chosen[used] & 0xFFFFFFFF]
-        seq = seq.copy()
-        seq[take] = first + rule
+        waits = np.zeros(1 << BIN_BITS, bool)
+        waits[homes[home[homes] - 1 != np.arange(len(chosen))]] = True
+        waiting = live[waits[cell] & ~is_pair]
+        live, at = live[is_pair], at[is_pair]
+        # where occurrences overlap the more frequent pair wins; of a run of one pair every second is taken
+        score = np.zeros(len(seq) + 1, np.int32)
+        score[live + 1] = len(chosen) - at
+        here = score[live + 1]
+        first_of_run = np.concatenate(([True], (live[1:] != live[:-1] + 1) | (here[1:] != here[:-1])))
+        run_start = np.maximum.accumulate(np.where(first_of_run, live, 0))
+        take = (here >= score[live]) & (here >= score[live + 2]) & ((live - run_start) % 2 == 0)
+        # a rule that this round would use less often waits, as it would cost more than it saves; the most frequent pair never does
+        take &= np.bincount(at[take], minlength=len(chosen))[at] >= max(1, LEAST_COUNT // 4)
+        used = np.flatnonzero(np.bincount(at[take], minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.int64)
+        number[used] = np.arange(len(used))
+        new = base + rules
+        lefts.append(chosen[used] >> 32)
+        rights.append(chosen[used] & 0xFFFFFFFF)
+        ends = np.concatenate((ends, ends[rights[-1]]))
+        rules += len(used)
+        taken = live[take]
+        seq[taken] = new + number[at[take]]
         stay = np.ones(len(seq), bool)
-        stay[take + 1] = False
-        seq = seq[stay]
-    return seq, left, right
+        stay[taken + 1] = False
+        look = np.zeros(len(seq), bool)  # places to look at in the next round
+        look[taken] = True
+        look[live[~take]] = True
+        look[waiting] = True
+        look, seq = look[stay], seq[stay]
+        fresh = np.flatnonzero(seq >= new)
+        look[np.maximum(fresh - 1, 0)] = True
+        live = np.flatnonzero(look[:-1])
+        live = live[~ends[seq[live]]]
+    none = [np.zeros(0, np.int64)]
+    return seq, np.concatenate(lefts or none), np.concatenate(rights or none)
+
+
+def _layers(left: np.ndarray, right: np.ndarray, base: int):
+    """Ranges of rules that only use rules of ranges before."""
+    last, a = np.maximum(left, right) - base, 0
+    while a < len(left):
+        late = np.flatnonzero(last[a:] >= a)
+        b = a + int(late[0]) if len(late) else len(left)
+        yield a, b
+        a = b
+
+
+def rule_sizes(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each rule stands for."""
+    size = np.ones(base + len(left), np.int64)
+    for a, b in _layers(left, right, base):
+        size[base + a : base + b] = size[left[a:b]] + size[right[a:b]]
+    return size[base:]
 
 
 def expansions(left: np.ndarray, right: np.ndarray, size: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, starts): the ids that each rule stands for, end to end.  A rule only uses rules before it."""
+    """(ids, starts): the ids that each rule stands for, end to end."""
     start = np.concatenate(([0], np.cumsum(size)))
     out = np.empty(int(start[-1]), np.int32)
-    at = start.tolist()
-    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        a = at[k]
-        for z in (x, y):
-            if z < base:
-                out[a] = z
-                a += 1
-            else:
-                n = at[z - base + 1] - at[z - base]
-                out[a : a + n] = out[at[z - base] : at[z - base] + n]
-                a += n
+    for a, b in _layers(left, right, base):
+        symbol = np.stack((left[a:b], right[a:b]), 1).reshape(-1)
+        single = symbol < base
+        rule = np.where(single, 0, symbol - base)
+        length = np.where(single, 1, size[rule])
+        to = start[a] + np.cumsum(length) - length
+        out[to[single]] = symbol[single]
+        to, length, begin = to[~single], length[~single], start[rule[~single]]
+        ramp = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        out[np.repeat(to, length) + ramp] = out[np.repeat(begin, length) + ramp]
     return out, start[:-1]
 
 
@@ -121,24 +162,19 @@ def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray], size: np.ndarr
     return source[np.repeat(begin - (end - length), length) + np.arange(int(end[-1]))]
 
 
-def _symbol_type(symbols: int) -> str:
-    return "<u2" if symbols <= 1 << 16 else "<u4"
-
-
 def encode_shard(doc_ids: list[int | None], parts: list[bytes], base: int) -> bytes:
     """``parts``: each document's ids with the end id, as little-endian uint32."""
     ids = np.frombuffer(b"".join(parts), "<u4")
     seq, left, right = grammar(ids, base)
-    size = np.ones(base + len(left), np.int64)
-    for k in range(len(left)):
-        size[base + k] = size[left[k]] + size[right[k]]
+    size = np.concatenate((np.ones(base, np.int64), rule_sizes(left, right, base)))
     symbol_at = np.concatenate(([0], np.cumsum(size[seq])))
     id_at = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts])))
     first = np.searchsorted(symbol_at, id_at)
     return b"".join((
         b"RPG1", struct.pack("<5I", len(parts), len(left), len(seq), len(ids), base),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
-        first.astype("<u4").tobytes(), left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), size[base:].astype("<u4").tobytes(), seq.astype(_symbol_type(base + len(left))).tobytes(),
+        first.astype("<u4").tobytes(), left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), size[base:].astype("<u4").tobytes(),
+        (seq & 0xFFFF).astype("<u2").tobytes(), (seq >> 16).astype("u1").tobytes() if base + len(left) > 1 << 16 else b"",
     ))
 
 
@@ -160,7 +196,9 @@ class Shard:
         ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
         self.first, self.left, self.right, self.size = (take("<u4", n).astype(np.int64) for n in (docs + 1, rules, rules, rules))
-        self.symbols = take(_symbol_type(self.base + rules), symbols).astype(np.int64)
+        self.symbols = take("<u2", symbols).astype(np.int64)
+        if self.base + rules > 1 << 16:
+            self.symbols |= take("u1", symbols).astype(np.int64) << 16
 
     def lengths(self) -> np.ndarray:
         """Ids of each document, from expansion lengths alone."""
@@ -197,7 +235,7 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END, sha
         def out():
             nonlocal shard, start, ids, names
             n = sum(map(len, ids)) // 4
-            row = pa.RecordBatch.from_arrays([pa.array([x], k.type) for x, k in zip((part, shard, start, n, encode_shard(names, ids, base)), schema, strict=True)], schema=schema)
+            row = pa.RecordBatch.from_arrays([pa.array([x], k.type) for x, k in zip((part, shard, start, n, names, encode_shard(names, ids, base)), schema, strict=True)], schema=schema)
             shard, start, ids, names = shard + 1, start + n, [], []
             return row
 
@@ -237,3 +275,21 @@ def read_store(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(cols, schema, strict=True)], schema=schema)
 
     return placed.mapInArrow(run, ddl.replace(", ", ","))
+
+
+def documents(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents whose doc_id is in ``wanted``; an id that the store lacks has no row, a shared one a row each.
+
+    The lists of documents, not the shards, meet the wanted ids; then only the shards that hold one are read, and in
+    them only those documents are expanded.
+    """
+    at = shards.select("part", "shard", F.posexplode("doc_ids").alias("place", "doc_id")).join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    places = at.groupBy("part", "shard").agg(F.array_sort(F.collect_list("place")).alias("places"))  # no more than a shard holds
+
+    def run(batches):
+        for batch in batches:
+            for places, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard = Shard(blob.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array([shard.doc_ids[k] for k in places], pa.int64()), pa.array([shard.document(k).astype(np.int32) for k in places], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return shards.join(places, ["part", "shard"]).select("places", "blob").mapInArrow(run, "doc_id long,ids array<int>")

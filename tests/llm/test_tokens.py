@@ -89,6 +89,39 @@ def test_grammar_round_trip(docs, least):
     assert shard.doc_ids == [None, *range(1, len(docs))]
 
 
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(4)
+    words = [r.integers(3, 4000, r.integers(1, 12)) for _ in range(300)]
+    ids = np.concatenate([np.append(np.concatenate([words[k] for k in r.zipf(1.3, 60) % 300]), token_store.END) for _ in range(500)])
+    seq, left, right = token_store.grammar(ids, 4096)
+    inside = seq[:-1][seq[:-1] != token_store.END]
+    last = np.zeros(4096 + len(left), bool)  # symbols that end a document
+    last[token_store.END] = True
+    for k in range(len(left)):
+        last[4096 + k] = last[right[k]]
+    keep = ~last[seq[:-1]]
+    _, counts = np.unique((seq[:-1] << 32 | seq[1:])[keep], return_counts=True)
+    assert counts.max() < token_store.LEAST_COUNT and len(inside)
+    size = token_store.rule_sizes(left, right, 4096)
+    back = token_store.expand(seq, token_store.expansions(left, right, size, 4096), size, 4096)
+    assert (back == ids).all() and size.max() > 16  # longer than four rounds of doubling reach
+
+
+def test_the_store_is_smaller_than_the_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    row = token_store.write_store(docs).selectExpr("sum(n_ids) as ids", "sum(octet_length(blob)) as size").first()
+    assert row["size"] < 0.8 * 2 * row["ids"]  # an id alone takes two bytes
+
+
+def test_documents_are_looked_up_by_id(spark):
+    rows = [*enumerate(cases.texts()), (5, "again"), (None, "null id")]
+    shards = token_store.write_store(cases.documents(spark, rows), shard_ids=50)
+    wanted = spark.createDataFrame([(5,), (7,), (7,), (999,), (None,)], "doc_id long")
+    got = sorted((r.doc_id, tuple(r.ids)) for r in token_store.documents(shards, wanted).collect())
+    assert got == sorted((i, (*ids_of(t), 2)) for i, t in rows if i in (5, 7))
+    assert shards.count() > 3
+
+
 def test_frequent_pairs_shrink_the_sequence():
     seq, left, right = token_store.grammar(np.array([3, 4, 5, 6] * 500 + [2]), 10)
     assert len(seq) < 600 and len(left) >= 2

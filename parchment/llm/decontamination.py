@@ -1,47 +1,71 @@
 """Benchmark decontamination by canonical templates.
 
-Texts become sequences of tokens in which numbers, units after numbers, and names (capitalised inside a sentence) are
-typed placeholders, by whole-string replacements.  Windows of ``WINDOW`` tokens of the benchmark are joined by hash with those of every document, so a
-question whose numbers and names were changed still matches.  For one alignment of an item with a document, each slot
-value of the item must stand for one value throughout; where it doesn't, the match is chance and is dropped.  Windows of
-fewer than ``LITERALS`` literal tokens are compared by their raw tokens, and so are, besides by template, all windows of items
-of at most ``LEAST``, as the words before a copy can make a name or unit of its first token.  A document is contaminated if a
-consistent alignment matches ``LEAST`` windows (13 tokens), or all windows of a shorter item, or all windows with
-enough literals of an item that has fewer than ``LEAST`` of them.  So a verbatim copy is always found.
-
-Everything is DataFrame expressions.  The benchmark's windows are broadcast only while they number at most
-``BROADCAST_WINDOWS``; beyond that both sides are shuffled by hash.  Only documents with a hit are looked at again, for their slots.
-
-Defined cases: null or empty texts and items have no windows; items with fewer than four literal tokens match word for word only;
-a null doc_id is not compared and counts as clean; rows that share a doc_id are judged together; repeated items
-count once; other columns are ignored; an empty benchmark leaves all documents clean.
+Texts become sequences of tokens in which numbers, units after numbers, and names are typed placeholders, by whole-string
+replacements.  A run of capitalised words is one name and a run of number words one number, so a replacement may have more
+or fewer words than what it replaces ("Paris" and "New York", "5 km" and "five kilometres").  Function words are no names.
+
+Windows of ``WINDOW`` tokens of the benchmark are joined by hash with those of every document, so a question whose numbers
+and names were changed still matches.  For one alignment of an item with a document, each slot value of the item must
+stand for one value throughout; where it doesn't, the match is chance and is dropped.  The item's first and last token are
+spared, as the words around a copy can join a run with them.  Windows of fewer than ``LITERALS`` literal tokens tell too
+little and are not used; items that have any, and items with at most ``LEAST`` of the others, are compared by their plain
+tokens too, in windows of the same size.  A document is contaminated if an alignment matches ``LEAST`` windows (13 tokens),
+or all of the item's windows of that kind where it has fewer.  So a verbatim copy is always found.
+
+Everything is DataFrame expressions.  A scan of the documents meets the hashes of the benchmark's windows, eight bytes
+each; they are broadcast only while they number at most ``BROADCAST_WINDOWS``, and beyond that both sides are shuffled by
+hash.  Only documents with a hit are looked at again.  What is collected per document are places in it, so it is bounded by
+its length, however many items share a window.
+
+Defined cases: null or empty texts and items have no windows; a null item_id is searched and shown as no id; items that
+share an id are searched each; a null doc_id is left out of ``report`` and judged by its own text in ``clean``; rows that
+share a doc_id are judged together; repeated items count once; other columns are ignored; an empty benchmark leaves all
+documents clean.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _common as C
+
 WINDOW = 8
 LEAST = 6
 LITERALS = 4
-BROADCAST_WINDOWS = 100_000
+BROADCAST_WINDOWS = 500_000  #: eight bytes each
+BROADCAST_BYTES = 16 << 20  #: of the benchmark's window tokens, which meet the hits
 #: Unit words, which are placeholders only after a number.
 UNITS = (
-    "percent pct mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces "
+    "percent pct mm millimetre millimetres millimeter millimeters cm centimetre centimetres centimeter centimeters m metre metres meter meters km kilometre kilometres "
+    "kilometer kilometers inch inches ft feet foot yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces "
     "ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur hz khz mhz w kw kwh v kb mb gb tb mph kmh degrees"
 ).split()
-#: A placeholder is this private-use character and a letter: n number, u unit, a name.
-_MARK = ""
-_RAW = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
-#: Each replaces one raw token by one placeholder, in this order.
+#: Number words.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+#: Words that are no names though sentences begin with them.
+STARTERS = (
+    "A An The This That These Those If When While Where What Which Who Whose Whom Why How Is Are Was Were Do Does Did Has Have Had Can Could Will Would Should May Might Must "
+    "There Here It Its He She They We You I His Her Their Our Your My In On At By For From Of To With Without After Before Under Over Between During Into And Or But Not No So As Then "
+    "Each Every All Some Any Both Given Give Let Find Add Name Write Solve Compute Calculate Suppose Choose Explain Describe Show Prove State List Determine Consider"
+).split()
+#: Each placeholder is this private-use character and a letter: n number, u unit, a name.
+_MARK = "\ue000"
+_BIG = rf"(?!(?:{'|'.join(STARTERS)})(?!\p{{L}}))\p{{Lu}}\p{{L}}*"
+_NAME = rf"(?<![\p{{L}}\p{{N}}]){_BIG}(?: {_BIG})*"
+_LOW = "|".join(NUMBERS)
+_NUMBER = rf"[0-9]+(?:[.,][0-9]+)*(?: (?:hundred|thousand|million|billion)(?!\p{{L}}))*|(?<!\p{{L}})(?=[zotfsenhmb])(?:{_LOW})(?:(?:[ -]|(?<=hundred|thousand) and )(?:{_LOW}))*(?!\p{{L}})"
+#: Each replaces one value by one placeholder, in this order.
 _PLACEHOLDERS = (
-    (r"(?<=[\p{L}\p{N},;:)] )\p{Lu}\p{L}*", _MARK + "a"),
-    (rf"(?<=[0-9] )(?i:{'|'.join(UNITS)})(?!\p{{L}})", _MARK + "u"),
-    (r"[0-9]+(?:[.,][0-9]+)*", _MARK + "n"),
+    (_NAME, _MARK + "a"),
+    (_NUMBER, _MARK + "n"),
+    (rf"(?<={_MARK}n ?)(?i:{'|'.join(UNITS)})(?!\p{{L}})", _MARK + "u"),
 )
 
 
@@ -56,7 +80,7 @@ def _plain(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """The template tokens of a text: lower-case words and placeholders, as many as raw tokens.
+    """The template tokens of a text: lower-case words and placeholders.
 
     Whole-string expressions do the work; no lambda runs over tokens.
     """
@@ -67,64 +91,90 @@ def template(text: Column) -> Column:
 
 
 def values(text: Column) -> Column:
-    """The raw tokens of a text in lower case; at a placeholder's place stands what fills its slot."""
-    return F.transform(F.regexp_extract_all(_plain(text), F.lit(_RAW), F.lit(0)), F.lower)
+    """What stands at each template token's place, in lower case: as many as ``template`` has."""
+    return F.transform(F.regexp_extract_all(_plain(text), F.lit(rf"{_NAME}|{_NUMBER}|\p{{L}}+"), F.lit(0)), F.lower)
+
+
+def words(text: Column) -> Column:
+    """Plain tokens in lower case."""
+    return F.regexp_extract_all(F.lower(_plain(text)), F.lit(r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"), F.lit(0))
+
 
+def _slices(tokens: str | Column, size: Column | int) -> Column:
+    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.slice(tokens, i, size)))
 
-def _windows(rows: DataFrame, size: int, *keep: str, of: str = "tpl") -> DataFrame:
+
+def item_windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(of, size, h, item, own, ipos, last, need, win, val): the windows that are searched; ``of`` is tpl or raw."""
+    items = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("_t")).distinct()
+    items = items.select("item", F.xxhash64("_t").alias("own"), template(F.col("_t")).alias("tpl"), values(F.col("_t")).alias("val"), words(F.col("_t")).alias("raw")).where(F.size("raw") > 0)
+    size = lambda c: F.least(F.size(c), F.lit(window))
+    items = items.withColumn("tsize", size("tpl")).withColumn("rsize", size("raw")).withColumn("tw", _slices("tpl", F.col("tsize"))).withColumn("rw", _slices("raw", F.col("rsize")))
+    telling = lambda w: F.size(F.filter(w, lambda t: ~t.startswith(_MARK))) >= LITERALS
+    items = items.withColumn("n_telling", F.size(F.filter("tw", telling)))
+    tpl = items.select("item", "own", F.lit("tpl").alias("of"), F.col("tsize").alias("size"), F.size("tpl").alias("last"), F.least("n_telling", F.lit(least)).alias("need"), "val", F.posexplode("tw").alias("p", "win")).where(telling(F.col("win")))
+    raw = items.where((F.col("n_telling") <= least) | (F.col("n_telling") < F.size("tw"))).select("item", "own", F.lit("raw").alias("of"), F.col("rsize").alias("size"), F.size("raw").alias("last"), F.least(F.size("rw"), F.lit(least)).alias("need"), F.col("raw").alias("val"), F.posexplode("rw").alias("p", "win"))
+    ipos = F.col("p") + 1
+    return tpl.unionByName(raw).select("of", "size", F.xxhash64("win").alias("h"), "item", "own", ipos.alias("ipos"), "last", "need", "win", F.slice("val", ipos, F.col("size")).alias("val"))
+
+
+def _places(rows: DataFrame, size: int, of: str, *keep: str) -> DataFrame:
     """(keep, pos from 1, h) of each window of ``size`` tokens of ``of``."""
     # an outer explode of one expression: a filter on it, written or inferred, would compute the template twice
     hashes = _let(F.col(of), lambda x: F.when(F.size(x) >= size, F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.xxhash64(F.slice(x, i, size)))))
     return rows.select(*keep, F.posexplode_outer(hashes).alias("_p", "h")).select(*keep, (F.col("_p") + 1).alias("pos"), "h")
 
 
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """The id as text; of a row without one, the hash of its text."""
+    return F.when(F.col(key).isNull(), F.concat(F.lit("t"), F.xxhash64(text).cast("string"))).otherwise(F.col(key).cast("long").cast("string"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows) of the consistent alignments that contaminate; one row a document and item."""
-    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).dropDuplicates([item]).select(F.col(item).cast("long").alias(item), template(F.col(item_text)).alias("tpl"), values(F.col(item_text)).alias("val"))
-    items = items.where(F.size("tpl") > 0).withColumn("size", F.least(F.size("tpl"), F.lit(window)))
-    texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
-    tokens = {"tpl": texts.select(key, "_text", template(F.col("_text")).alias("tpl")), "val": texts.select(key, "_text", values(F.col("_text")).alias("val"))}
+    """(row_key, item, n_windows) of the consistent alignments that contaminate; one row a document and item."""
+    wanted = C.written(item_windows(benchmark, window, least, item, item_text))
+    kinds = wanted.groupBy("of", "size").agg(F.countDistinct("h").alias("n"), F.sum(F.length(F.array_join("win", " ")) + F.length(F.array_join("val", " "))).alias("chars")).collect()  # two for each size up to ``window``
+    texts = docs.where(F.col(text).isNotNull()).select(row_key(key, text).alias("row_key"), F.col(text).alias("_text"))
+    make = {"tpl": template, "raw": words}
     parts = []
-    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most ``window`` values
-        all_ = _windows(items.where(F.col("size") == size), size, item, "tpl", "val").select(
-            item, F.col("pos").alias("ipos"), (F.size("tpl") - size + 1).alias("n_all"), F.slice("tpl", F.col("pos"), size).alias("itpl"), F.slice("val", F.col("pos"), size).alias("ival"),
-        ).withColumn("literal", F.size(F.filter("itpl", lambda t: ~t.startswith(_MARK))) >= LITERALS)
-        all_ = all_.withColumn("need_literal", F.least(F.count_if("literal").over(Window.partitionBy(item)).cast("int"), F.lit(least))).withColumn("need", F.least("n_all", F.lit(least)))
-        hit = F.struct("pos", item, "ipos", "need", "need_literal", "raw", "itpl", "ival").alias("hit")
-        for of, some in (("tpl", all_.where("literal").withColumn("h", F.xxhash64("itpl"))), ("val", all_.where(~F.col("literal") | (F.col("n_all") <= least)).withColumn("h", F.xxhash64("ival")))):
-            own = some.select("h", item, "ipos", "need", "need_literal", F.lit(of == "val").alias("raw"), "itpl", "ival")
-            n = own.count()
-            if n == 0:  # the documents aren't read for it
-                continue
-            if n <= BROADCAST_WINDOWS:
-                parts.append(_windows(tokens[of], size, key, "_text", of=of).join(F.broadcast(own), "h").select(key, "_text", hit))
-            else:
-                parts.append(_windows(tokens[of], size, key, of=of).join(own, "h").select(key, hit).join(texts, key).select(key, "_text", "hit"))
+    for of, size, n, _ in sorted(kinds):
+        hashes = wanted.where((F.col("of") == of) & (F.col("size") == size)).select("h").distinct()
+        tokens = texts.select("row_key", "_text", make[of](F.col("_text")).alias(of))
+        hit = F.struct(F.lit(of).alias("of"), F.lit(size).alias("size"), "pos").alias("hit")
+        if n <= BROADCAST_WINDOWS:
+            parts.append(_places(tokens, size, of, "row_key", "_text").join(F.broadcast(hashes), "h", "left_semi").select("row_key", "_text", hit))
+        else:
+            parts.append(_places(tokens, size, of, "row_key").join(hashes, "h", "left_semi").select("row_key", hit).join(texts, "row_key").select("row_key", "_text", "hit"))
     if not parts:
-        return docs.sparkSession.createDataFrame([], f"{key} long, {item} long, n_windows long")
-    # only documents with a hit go on, each with its text once
-    hits = reduce(DataFrame.unionByName, parts).groupBy(key, "_text").agg(F.collect_list("hit").alias("hits"))
-    hits = hits.select(key, template(F.col("_text")).alias("tpl"), values(F.col("_text")).alias("val"), "hits")
-    hits = hits.select(key, "tpl", "val", F.explode("hits").alias("hit")).select(key, "tpl", "val", "hit.*")  # after the tokens, or they are made for every hit
-    at = lambda c: F.slice(c, F.col("pos"), F.size("itpl"))
-    found = hits.where(F.when(F.col("raw"), at("val") == F.col("ival")).otherwise(at("tpl") == F.col("itpl"))).select(
-        key, item, "need", "need_literal", "raw", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos",
-        F.transform(F.filter(F.arrays_zip("itpl", "ival", at("val").alias("dval")), lambda z: z["itpl"].startswith(_MARK)), lambda z: F.struct(z["ival"].alias("i"), z["dval"].alias("d"))).alias("slots"),
+        return docs.sparkSession.createDataFrame([], "row_key string, item long, n_windows long")
+    # only documents with a hit go on, each with its text once; their tokens are made before the hits are parted again
+    hits = reduce(DataFrame.unionByName, parts).groupBy("row_key", "_text").agg(F.collect_list("hit").alias("hits"))
+    hits = hits.select("row_key", template(F.col("_text")).alias("tpl"), values(F.col("_text")).alias("val"), words(F.col("_text")).alias("raw"), "hits").select("row_key", "tpl", "val", "raw", F.explode("hits").alias("hit"))
+    at = lambda c: F.slice(c, F.col("hit.pos"), F.col("hit.size"))
+    is_tpl = F.col("hit.of") == "tpl"
+    hits = hits.select("row_key", "hit.of", "hit.size", "hit.pos", F.when(is_tpl, at("tpl")).otherwise(at("raw")).alias("win"), F.when(is_tpl, at("val")).otherwise(at("raw")).alias("dval"))
+    own = wanted.withColumnRenamed("win", "iwin")
+    if sum(k["chars"] for k in kinds) <= BROADCAST_BYTES:
+        own = F.broadcast(own)
+    found = hits.withColumn("h", F.xxhash64("win")).join(own, ["of", "size", "h"]).where("win = iwin")
+    slots = F.transform(
+        F.filter(F.arrays_zip("win", "val", "dval", F.transform("win", lambda _, i: F.col("ipos") + i).alias("place")), lambda z: z["win"].startswith(_MARK) & (z["place"] > 1) & (z["place"] < F.col("last"))),
+        lambda z: F.struct(z["val"].alias("i"), z["dval"].alias("d")),
     )
-    aligned = found.groupBy(key, item, "need", "need_literal", "shift").agg(
-        F.size(F.collect_set("ipos")).alias("n"), F.size(F.collect_set(F.when(~F.col("raw"), F.col("ipos")))).alias("n_literal"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    aligned = found.select("row_key", "item", "own", "of", "need", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), slots.alias("slots")).groupBy("row_key", "item", "own", "of", "need", "shift").agg(
+        F.size(F.collect_set("ipos")).alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     sound = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    enough = (F.col("n") >= F.col("need")) | ((F.col("need_literal") > 0) & (F.col("n_literal") >= F.col("need_literal")))
-    return aligned.where(sound & enough).groupBy(key, item).agg(F.max("n").cast("long").alias("n_windows"))
+    return aligned.where(sound & (F.col("n") >= F.col("need"))).groupBy("row_key", "item").agg(F.max("n").cast("long").alias("n_windows"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids) of the contaminated documents; item_ids ascend, joined by commas."""
-    found = matches(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("item_ids"))
+    found = matches(docs, benchmark).where(~F.col("row_key").startswith("t")).groupBy(F.col("row_key").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.count("*").alias("n_items"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), "n_items", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that match no item."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = matches(docs, benchmark).select(F.col("row_key").alias("_parchment_row")).distinct()
+    return docs.withColumn("_parchment_row", row_key()).join(gone, "_parchment_row", "left_anti").select(*docs.columns)

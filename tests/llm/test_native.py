@@ -143,6 +143,118 @@ def test_reworded_items_of_few_literals(spark):
     assert found(spark, rows, DENSE) == {1: [1]}  # numbers changed where the words around them tell the item
 
 
+# --- templates and slots against brute force -----------------------------------------------------------------------
+
+
+def brute_template(text):
+    """[(template token, value)] by walking over words, with their gaps."""
+    out, end, kind = [], 0, ""
+    for m in re.finditer(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*", text):
+        w, gap = m[0], text[end : m.start()]
+        before = text[m.start() - 1] if m.start() else " "
+        low = w in decontamination.NUMBERS
+        if w[0].isupper() and w not in decontamination.STARTERS and not before.isalnum():
+            if kind == "a" and gap == " ":
+                out[-1] = ("<a>", out[-1][1] + " " + w.lower())
+            else:
+                out.append(("<a>", w.lower()))
+            kind = "a"
+        elif w[0].isdigit() or low:
+            last = out[-1][1].split(" ")[-1].split("-")[-1] if out else ""
+            scale = w in ("hundred", "thousand", "million", "billion") and gap == " "
+            joined = kind == "digits" and scale or kind == "words" and low and (gap in (" ", "-") or gap == " and " and last in ("hundred", "thousand"))
+            if low and joined:
+                out[-1] = ("<n>", out[-1][1] + gap + w)
+            else:
+                out.append(("<n>", w.lower()))
+            kind = kind if low and joined else "words" if low else "digits"
+        elif out and out[-1][0] == "<n>" and gap in ("", " ") and kind in ("words", "digits") and w.lower() in decontamination.UNITS:
+            out.append(("<u>", w.lower()))
+            kind = ""
+        elif w == "and" and kind == "words" and gap == " " and out[-1][1].split(" ")[-1] in ("hundred", "thousand") and re.match(rf" (?:{'|'.join(decontamination.NUMBERS)})(?![^\W\d_])", text[m.end() :]):
+            continue  # inside a number; the gap of the next word has it
+        else:
+            out.append((w.lower(), w.lower()))
+            kind = ""
+        end = m.end()
+    return out
+
+
+def brute_found(doc, item):
+    t, d = brute_template(item), brute_template(doc)
+    plain = lambda x: [(w, w) for w in re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+", x.lower())]
+    size = min(8, len(t))
+    rich = [i for i in range(len(t) - size + 1) if sum(a[0] != "<" for a, _ in t[i : i + size]) >= 4] if t else []
+    runs = [(t, d, size, rich)]
+    if t and (len(rich) <= 6 or len(rich) < len(t) - size + 1):
+        p = plain(item)
+        runs.append((p, plain(doc), min(8, len(p)), list(range(len(p) - min(8, len(p)) + 1))))
+    for k, (a, b, n, starts) in enumerate(runs):
+        if not starts:
+            continue
+        for shift in range(-len(a), len(b)):
+            hit = [i for i in starts if 0 <= i + shift <= len(b) - n and [x[0] for x in a[i : i + n]] == [x[0] for x in b[i + shift : i + shift + n]]]
+            slots = {(a[j][1], b[j + shift][1]) for i in hit for j in range(i, i + n) if k == 0 and a[j][0][0] == "<" and 0 < j < len(a) - 1}
+            if len(hit) >= min(6, len(starts)) and len(slots) == len({x for x, _ in slots}):
+                return True
+    return False
+
+
+NAMES = ("Maria", "Paris", "New York", "Tom Baker", "Rio de Janeiro", "Ana Maria Lopez", "Oslo")
+AMOUNTS = ("12", "3,500", "7", "five", "twenty-one", "two hundred and six", "40 million", "0.5")
+MEASURES = ("km", "kilometres", "minutes", "kg", "dollars", "pounds")
+QUESTIONS = (
+    "{a} drives {n} {u} from {b} to a small village and needs {m} litres of fuel for every part of the way. How much fuel is left when the tank held {m} litres?",
+    "The baker in {a} sells {n} loaves each morning and gives {m} of them to the school near the river. How many loaves does the school get in {n} days?",
+    "A train leaves {a} at noon with {n} people and stops in {b} where {m} of them get off while others wait. How many stay on the train?",
+    "If {a} reads {n} pages of the old book on the first day and {m} pages on the next, how many pages are there to read for {b}?",
+)
+
+
+def fill(r, q, old=None):
+    pick = lambda pool: r.choice([x for x in pool if not old or x not in old.values()])
+    a, n = pick(NAMES), pick(AMOUNTS)
+    return {"a": a, "b": r.choice([x for x in NAMES if x != a]), "n": n, "m": r.choice([x for x in AMOUNTS if x != n]), "u": pick(MEASURES)}
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(8)
+    texts = [q.format(**fill(r, q)) for q in QUESTIONS for _ in range(6)] + [t for _, t in DENSE] + ["5km of Old Road", "B2B and COVID19 at 7pm", "seven eight hundred and", "One Two three-four five km", "İzmir 3 kg, twenty mines", "a 5 thousandth of hundred and five"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decontamination.template(decontamination.F.col("t")), decontamination.values(decontamination.F.col("t"))).collect()
+    for t, tpl, val in got:
+        want = brute_template(t.replace("İ", "I"))
+        assert [f"<{x[1]}>" if x[0] == decontamination._MARK else x for x in tpl] == [a for a, _ in want], t
+        assert val == [b for _, b in want], t
+
+
+def test_reworded_questions_are_found(spark):
+    r = random.Random(9)
+    items = [(k, q.format(**fill(r, q))) for k, q in enumerate(QUESTIONS)]
+    rows, torn = [], []
+    for k in range(200):
+        i = k % len(QUESTIONS)
+        new = fill(r, QUESTIONS[i])
+        lead, tail = r.choice(("", "He said so. ", "see below: ", "some words and ", "Question ")), r.choice((" And so on.", " more words follow", ""))
+        rows.append((k, lead + QUESTIONS[i].format(**new) + tail))
+        q = QUESTIONS[i].replace("{n}", "{x}", 1) if QUESTIONS[i].count("{n}") > 1 else QUESTIONS[i].replace("{m}", "{x}", 1)
+        torn.append((1000 + k, lead + q.format(**new, x="99") + tail))
+    clean = [(5000 + k, " ".join(r.choice("the a of old new train book reads sells 12 km Paris five river".split()) for _ in range(60))) for k in range(60)]
+    got = found(spark, rows + torn + clean, items)
+    assert sum(k % len(QUESTIONS) in got.get(k, []) for k, _ in rows) >= 0.9 * len(rows)
+    want = {i: sorted(k for k, q in items if brute_found(t, q)) for i, t in rows + torn + clean}
+    assert got == {i: v for i, v in want.items() if v}
+    assert not any(i >= 5000 for i in got)
+
+
+def test_null_and_shared_ids(spark):
+    bench = [(None, QUESTION), (1, "the small red fox jumps over it"), (1, "every item of a shared id is searched for here")]
+    rows = [(1, QUESTION), (2, "so every item of a shared id is searched for here"), (3, "see the small red fox jumps over it"), (None, "oh " + QUESTION), (None, "clean"), (4, "clean")]
+    docs, items = cases.documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    assert sorted((r.doc_id, r.n_items, r.item_ids) for r in decontamination.report(docs, items).collect()) == [(1, 1, ""), (2, 1, "1"), (3, 1, "1")]
+    kept = decontamination.clean(docs, items)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("4", "clean"), ("None", "clean")] and kept.columns == docs.columns
+
+
 def test_verbatim_items_are_all_found(spark):
     sf = SMALL.replace("0.001", "0.01")
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -6,6 +6,11 @@ first segment, at most one in its first two, at most two in all three.  So finge
 rows each, and inside a bucket the second segment is probed with at most one bit changed; only what the chain admits
 reaches the full Hamming check.
 
+``near_groups`` is the setting for near copies in general: five-word shingles, 128 bits, and the radius within which texts
+of similarity 0.8 fall nine times in ten.  Thirteen segments form its ring, and the budgets of its chains are 1, 3, 5, ...
+bits; the first segment deals the fingerprints out, with one bit flipped at most.  Numbers of distinct shingles must agree
+to 0.8 as well, which any pair of that similarity meets.
+
 All work is on distinct fingerprints, so exact copies cost one aggregated row.  A bucket returns a spanning forest of
 its links, never pairs; components come from alternating star contraction over written tables, linear rows a round.
 
@@ -16,6 +21,8 @@ repeated rows return the same class each; other columns are ignored; an empty ta
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -189,8 +196,186 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return marked.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; rows with a null doc_id stay."""
-    groups = simhash_groups(docs, shingle)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+# --- near copies: wider fingerprints, a wider radius ----------------------------------------------------------------
+
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+BITS = 128
+CELLS = 1 << 20  #: pairs compared at a time
+_HOLD = 1 << 18  #: links held before they are folded into the forest
+
+
+def radius_for(similarity: float, bits: int = BITS) -> int:
+    """Bits within which nine of ten pairs of that Jaccard similarity differ: the angle between their shingle sets, and its spread."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 1.2816 * math.sqrt(bits * share * (1 - share)))
+
+
+def ring_of(radius: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """(start, width) of the segments: as few as leave the first a budget of one bit."""
+    m = radius // 2 + 1
+    ends = [bits * k // m for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """(doc_id, hi, lo, n): 128 fingerprint bits and the number of distinct shingles."""
+    C.tune(docs.sparkSession)
+
+    def one(batch, data, off):
+        raw, digest = data.tobytes().lower(), xxhash.xxh3_128_digest
+        sizes, digests = [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            words = raw[a:b].split()
+            line = b" ".join(words)
+            if len(words) <= shingle:
+                got = [digest(line, SEED)] if words else []
+            else:
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                got = [digest(line[i:j], SEED) for i, j in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+            sizes.append(len(got))
+            digests += got
+        flat = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2)
+        counts = np.array(sizes, np.int64)
+        cut = np.concatenate(([0], np.cumsum(counts)))
+        out = {"hi": fingerprint_bits(flat[:, 0], counts).view(np.int64), "lo": fingerprint_bits(flat[:, 1], counts).view(np.int64)}
+        n = np.array([len(np.unique(flat[x:y, 0])) for x, y in zip(cut[:-1], cut[1:], strict=True)], np.int64)
+        yield {"doc_id": C.column(batch, "doc_id"), **out, "n": n}
+
+    return C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one, "doc_id long, hi long, lo long, n long")
+
+
+def rotated(hi: np.ndarray, lo: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits turned left by ``by``."""
+    if by >= 64:
+        hi, lo, by = lo, hi, by - 64
+    if not by:
+        return hi, lo
+    up, down = np.uint64(by), np.uint64(64 - by)
+    return hi << up | lo >> down, lo << up | hi >> down
+
+
+def _fold(root: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    links.clear()
+    n = len(root)
+    return _roots(n, np.concatenate((a, np.arange(n))), np.concatenate((b, root)))
+
+
+def near_forest(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, flip: np.ndarray, width: int, dealt: int, radius: int, similarity: float, ring: list[tuple[int, int]], at: int) -> np.ndarray:
+    """The least index that each row of a bucket links to.  The rows are turned so that the bucket's segment comes first.
+
+    Rows with ``flip`` are probes: they look for rows whose first segment differs from theirs in that one dealt bit.
+    """
+    total = len(hi)
+    key = (hi >> np.uint64(64 - width)).astype(np.int64) ^ flip
+    home, probe = np.flatnonzero(flip == 0), np.flatnonzero(flip != 0)
+    home, probe = (x[np.lexsort((n[x], key[x]))] for x in (home, probe))
+    if not len(home):
+        return np.arange(total)
+    keys = key[home]
+    widths = [ring[(at + k) % len(ring)][1] for k in range(len(ring))]
+    chain = []  # (mask of the first bits of a row, most differences in them)
+    for k in range(2, len(ring) + 1):
+        if sum(widths[:k]) <= 64:
+            chain.append((np.uint64(((1 << sum(widths[:k])) - 1) << (64 - sum(widths[:k]))), k * radius // len(ring)))
+    root = np.arange(total)
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def compare(x: np.ndarray, y: np.ndarray, own: bool) -> None:
+        """Links between the rows x and y, each in ascending order of n."""
+        nonlocal root, held
+        step = max(1, min(256, CELLS // max(1, len(y))))
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            j = i + 1 if own else np.searchsorted(n[y], math.ceil(similarity * n[part[0]] - 1e-9))
+            rest = y[j : np.searchsorted(n[y], math.floor(n[part[-1]] / similarity + 1e-9), "right")]
+            if not len(rest):
+                continue
+            differ = hi[part][:, None] ^ hi[rest][None, :]
+            a, b = np.nonzero(np.bitwise_count(differ & chain[0][0]) <= chain[0][1])
+            differ = differ[a, b]
+            a, b = part[a], rest[b]
+            for mask, most in chain[1:]:
+                some = np.bitwise_count(differ & mask) <= most
+                a, b, differ = a[some], b[some], differ[some]
+            some = (np.bitwise_count(differ).astype(np.int64) + np.bitwise_count(lo[a] ^ lo[b]) <= radius) & (a != b)
+            some &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+            some &= root[a] != root[b]
+            if some.any():
+                links.append((a[some], b[some]))
+                held += int(some.sum())
+                if held > _HOLD:
+                    root, held = _fold(root, links), 0
+
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    tails = np.append(heads[1:], len(keys))
+    place = {int(keys[h]): (h, t) for h, t in zip(heads, tails, strict=True)}
+    for k, (h, t) in place.items():
+        own = home[h:t]
+        compare(own, own, True)
+        for bit in range(width - dealt):
+            if not k >> bit & 1 and (k | 1 << bit) in place:
+                h2, t2 = place[k | 1 << bit]
+                compare(own, home[h2:t2], False)
+        lo_, hi_ = np.searchsorted(key[probe], [k, k + 1])
+        if hi_ > lo_:
+            compare(own, probe[lo_:hi_], False)
+    return _fold(root, links) if links else root
+
+
+def near_links(classes: DataFrame, dealt: int, radius: int, similarity: float) -> DataFrame:
+    """(u, v): a forest that spans the links of each bucket; ``classes`` has hi, lo, n and rep.
+
+    Each ring turns the bits, and its first ``dealt`` bits name the bucket; a row also goes where one of those bits that is
+    0 would be 1, so a pair meets once a ring.
+    """
+    ring = ring_of(radius)
+    schema = C.arrow_schema("ring int, bucket int, flip int, hi long, lo long, n long, rep long")
+
+    def deal(batches):
+        for batch in batches:
+            hi, lo = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
+            n, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            for k, (start, width) in enumerate(ring):
+                h, low = rotated(hi, lo, start)
+                bucket = (h >> np.uint64(64 - dealt)).astype(np.int64)
+                for bit in range(-1, dealt):
+                    some = np.flatnonzero(bucket >> bit & 1 == 0) if bit >= 0 else np.arange(len(h))
+                    to = bucket[some] | 1 << bit if bit >= 0 else bucket
+                    flip = 1 << bit + width - dealt if bit >= 0 else 0
+                    cols = [np.full(len(some), k), to, np.full(len(some), flip), h[some].view(np.int64), low[some].view(np.int64), n[some], rep[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = table.column("ring")[0].as_py()
+        hi, lo = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("hi", "lo"))
+        n, rep, flip = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "rep", "flip"))
+        root = near_forest(hi, lo, n, flip, ring[at][1], dealt, radius, similarity, ring, at)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        u, v = np.maximum(rep[own], rep[root[own]]), np.minimum(rep[own], rep[root[own]])
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=C.arrow_schema("u long, v long"))
+
+    rows = classes.where("rep is not null").select("hi", "lo", "n", "rep").mapInArrow(deal, "ring int,bucket int,flip int,hi long,lo long,n long,rep long")
+    return rows.groupBy("ring", "bucket").applyInArrow(run, "u long,v long").where("u <> v").distinct()
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id reachable by links between wide fingerprints, for every row.
+
+    Links are fingerprints within ``radius_for(similarity)`` bits whose numbers of distinct shingles agree to ``similarity``.
+    """
+    marked = C.written(wide_fingerprints(docs, shingle))
+    classes = C.written(marked.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")))
+    dealt = min(9, max(3, C.bucket_count(docs).bit_length() - 3))
+    joined = components(near_links(classes, dealt, radius_for(similarity), similarity))
+    own = C.written(classes.join(joined, classes.rep == joined.node, "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id")))
+    return marked.join(own, ["hi", "lo", "n"]).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its near group; rows with a null doc_id stay."""
+    gone = near_groups(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_parchment_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_parchment_id"), "left_anti").select(*docs.columns)

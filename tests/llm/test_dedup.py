@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -139,6 +140,111 @@ def test_chains_find_every_link_in_crowded_fingerprints(monkeypatch, probe_above
     assert got == want and len(want) > 500
 
 
+# --- near copies ---------------------------------------------------------------------------------------------------
+
+
+def brute_wide(t, n=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    shingles = [" ".join(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []
+    h = [xxhash.xxh3_128_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(128) if h and 2 * sum(x >> b & 1 for x in h) > len(h)), len({x >> 64 for x in h})
+
+
+def edited(r, text, share):
+    return " ".join(w if r.random() > share else "".join(r.choice("vwxyz") for _ in range(5)) for w in text.split())
+
+
+def near_rows():
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6))) for _ in range(n))
+    rows = [(i, t) for i, t in enumerate(cases.texts()) if i != 14]
+    for k in range(40):
+        base = prose(r.randint(60, 500))
+        rows += [(1000 + 10 * k + j, edited(r, base, r.choice((0.0, 0.004, 0.01, 0.02, 0.03, 0.06)))) for j in range(6)]
+    return rows
+
+
+def test_near_groups_against_brute_force(spark):
+    rows = near_rows()
+    fps = {i: brute_wide(t) for i, t in rows}
+    radius = sim.radius_for(0.8)
+    parent = {i: i for i in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(fps)
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            (a, n), (b, m) = fps[i], fps[j]
+            if (a ^ b).bit_count() <= radius and min(n, m) >= 0.8 * max(n, m):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in sim.near_groups(cases.documents(spark, rows)).collect()}
+    assert got == {i: find(i) for i in fps}
+    assert sum(v != i for i, v in got.items()) > 60
+
+
+def test_near_copies_are_found(spark):
+    rows = near_rows()[20:]
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} for i, t in rows}
+    close, far = [], []
+    for i in sets:
+        for j in sets:
+            if i < j:
+                s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if s >= 0.8:
+                    close.append((i, j))
+                elif s < 0.1:
+                    far.append((i, j))
+    got = {r.doc_id: r.component_id for r in sim.near_groups(cases.documents(spark, rows)).collect()}
+    assert len(close) > 100 and sum(got[i] == got[j] for i, j in close) >= 0.9 * len(close)
+    assert not any(got[i] == got[j] for i, j in far)
+
+
+@pytest.mark.parametrize("dealt", [3, 9])
+def test_each_pair_meets_in_some_ring(spark, dealt):
+    r = np.random.default_rng(5)
+    base = [int.from_bytes(r.bytes(16)) for _ in range(20)]
+    rows = {}
+    for b in base:
+        for _ in range(8):
+            x = b
+            for bit in r.choice(128, r.integers(0, 22), replace=False):
+                x ^= 1 << int(bit)
+            rows[x] = len(rows) + 1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1), 100, i) for x, i in rows.items()], "hi long, lo long, n long, rep long")
+    parent = {i: i for i in rows.values()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(i, j) for x, i in rows.items() for y, j in rows.items() if i < j and (x ^ y).bit_count() <= 25]
+    for u, v in [(r.u, r.v) for r in sim.near_links(df, dealt, 25, 0.8).collect()]:
+        assert u > v
+        parent[find(u)] = find(v)
+    assert pairs and all(find(i) == find(j) for i, j in pairs)
+    groups = {}
+    for i in rows.values():
+        groups.setdefault(find(i), []).append(i)
+    close = {i: set() for i in rows.values()}
+    for i, j in pairs:
+        close[i].add(j)
+        close[j].add(i)
+    for own in groups.values():  # nothing is linked but by such pairs
+        seen, todo = {own[0]}, [own[0]]
+        while todo:
+            for y in close[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        assert seen == set(own)
+
+
 def test_components_follow_long_chains(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(0, 60)] + [(200, 100), (150, 100)], "u long, v long")
     got = {r.node: r.component for r in sim.components(edges).collect()}

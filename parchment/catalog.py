@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parchment.operators import derivation, extraction, forum, history, listing, people, retrieval, upkeep, versions
+from parchment.operators import derivation, extraction, forum, history, listing, orders, people, questions, records, retrieval, upkeep, versions
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, listing, versions, people, history, forum, extraction, upkeep, derivation):
+for _module in (retrieval, listing, versions, people, history, forum, extraction, upkeep, derivation, orders, questions, records):
     QUERIES |= _module.REGISTRY.queries
     ORACLES |= _module.REGISTRY.oracles

@@ -9,8 +9,12 @@ from zoneinfo import ZoneInfo
 
 ZONE = ZoneInfo("America/New_York")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-SEASONS = {"spring": (1, 6), "summer": (6, 9), "fall": (8, 13), "autumn": (8, 13)}
-_MONTH = "|".join([f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS] + ["sept"])
+#: Days of a unit when it is counted back, and what count words stand for.
+UNIT_DAYS = {"day": 1, "night": 1, "week": 7, "fortnight": 14, "month": 30, "quarter": 90, "year": 365}
+COUNT_WORDS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "couple": 2, "few": 3, "several": 3}
+RECENT_DAYS = 30
+#: The month in which the autumn term begins; the spring term begins in January.
+AUTUMN = 8
 
 
 @dataclass(frozen=True)
@@ -25,76 +29,92 @@ def _midnight(day: date) -> datetime:
     return datetime(day.year, day.month, day.day, tzinfo=ZONE).astimezone(timezone.utc)
 
 
-def _month(name: str) -> int:
-    return next(i for i, m in enumerate(MONTHS, 1) if m.startswith(name.lower()[:3]))
+def _of_months(name: str) -> int:
+    return MONTHS.index(name.lower()) + 1
 
 
-def _after(year: int, month: int) -> date:
-    return date(year + month // 12, month % 12 + 1, 1)
+def _month_after(day: date) -> date:
+    return (day.replace(day=1) + timedelta(days=32)).replace(day=1)
 
 
-def _day(year: int, month: int, day: int) -> date | None:
-    try:
-        return date(year, month, day)
-    except ValueError:
-        return None
+class _Calendar:
+    """What words mean on a day: each method gives (first day, day after the last, label)."""
+
+    def __init__(self, today: date):
+        self.today, self.tomorrow = today, today + timedelta(days=1)
+
+    def day(self, back: int, label: str):
+        first = self.today - timedelta(days=back)
+        return first, first + timedelta(days=1), label
+
+    def rolling(self, count: int, unit: str):
+        """That many units back from the end of today, so what was filed this morning is in."""
+        days = count * UNIT_DAYS[unit]
+        many = lambda n, word: f"{n} {word}{'s' * (n != 1)}"
+        label = many(days, "day") if days <= 31 else unit if count == 1 else many(count, unit)
+        return self.today - timedelta(days=days - 1), self.tomorrow, f"the past {label}"
+
+    def counted(self, count: str, unit: str):
+        n = COUNT_WORDS.get(count) or int(count)
+        return self.rolling(n, unit) if n else None
+
+    def term(self, last: bool):
+        year, autumn = self.today.year, self.today.month >= AUTUMN
+        starts = [date(year - 1, AUTUMN, 1), date(year, 1, 1), date(year, AUTUMN, 1)]
+        k = 2 if autumn else 1
+        return (starts[k - 1], starts[k], "last semester") if last else (starts[k], self.tomorrow, "this semester")
+
+    def current(self, unit: str):
+        if unit in ("semester", "term"):
+            return self.term(last=False)
+        first = {"week": self.today - timedelta(days=self.today.isoweekday() % 7), "month": self.today.replace(day=1), "year": date(self.today.year, 1, 1)}[unit]
+        return first, self.tomorrow, f"this {unit}"
+
+    def month(self, name: str, year: str | None, onwards: bool = False):
+        """A month without a year is the last one that has begun."""
+        k = _of_months(name)
+        first = date(int(year) if year else self.today.year - (k > self.today.month), k, 1)
+        return first, self.tomorrow if onwards else _month_after(first), f"{name.capitalize()} {first.year}" + " onwards" * onwards
+
+    def year(self, year: str, onwards: bool = False):
+        return date(int(year), 1, 1), self.tomorrow if onwards else date(int(year) + 1, 1, 1), year + " onwards" * onwards
+
+
+_MONTH, _YEAR, _BACK = "|".join(MONTHS), r"(?:19|20)\d{2}", "last|past|previous|preceding|prior"
+_UNITS = "|".join(UNIT_DAYS)
+#: The first pattern that matches, the most specific first, tells the period.
+_PATTERNS = tuple((re.compile(p, re.I), f) for p, f in (
+    (r"\b(?:today|tonight)\b", lambda c, m: c.day(0, "today")),
+    (r"\byesterday\b", lambda c, m: c.day(1, "yesterday")),
+    (rf"\b(?:in|over|during|within|from)?\s*(?:the\s+)?(?:{_BACK})\s+(\d{{1,3}}|{'|'.join(COUNT_WORDS)})\s+(?:of\s+)?({_UNITS})s?\b", lambda c, m: c.counted(m[1].lower(), m[2].lower())),
+    (rf"\b(?:in|over|during|within)?\s*(?:the\s+)?(?:{_BACK})\s+({_UNITS}|semester|term)\b", lambda c, m: c.term(last=True) if m[1].lower() in ("semester", "term") else c.rolling(1, m[1].lower())),
+    (r"\b(?:so\s+far\s+)?this\s+(week|month|semester|term|year)\b", lambda c, m: c.current(m[1].lower())),
+    (rf"\bsince\s+({_MONTH})(?:\s+(?:of\s+)?({_YEAR}))?\b", lambda c, m: c.month(m[1], m[2], onwards=True)),
+    (rf"\bsince\s+({_YEAR})\b", lambda c, m: c.year(m[1], onwards=True)),
+    (rf"\b({_MONTH})\s+(?:of\s+)?({_YEAR})\b", lambda c, m: c.month(m[1], m[2])),
+    (rf"\b(?:in|during|for|throughout)\s+({_MONTH})\b", lambda c, m: c.month(m[1], None)),
+    (rf"\b(?:in|during|for|from|throughout|of)\s+({_YEAR})\b", lambda c, m: c.year(m[1])),
+    (r"\b(?:most\s+)?recent(?:ly)?\b|\blately\b|\bof\s+late\b|\bso\s+far\b|\blatest\b|\bnewest\b", lambda c, m: None if standing_lookup(m.string) else c.rolling(RECENT_DAYS, "day")),
+))
+
+
+def standing_lookup(question: str) -> bool:
+    """Whether a question asks for the rules in force, rather than for what happened to them."""
+    rules, happened = r"\b(?:constitution|bylaws?)\b", r"\b(?:happen(?:ed)?|minutes|meetings?|bills?|news|passed|voted|introduced)\b"
+    return bool(re.search(rules, question, re.I)) and not re.search(happened, question, re.I)
 
 
 def parse_period(question: str, now: datetime) -> Period | None:
     """The most specific period that a question names, or None.  ``now`` has a time zone."""
-    today = now.astimezone(ZONE).date()
-
-    def span(m: re.Match, a: date | None, b: date | None, label: str) -> Period | None:
-        return Period(_midnight(a), _midnight(b), label, m[0]) if a and b and a < b else None
-
-    def one_day(m, d):
-        return span(m, d, d + timedelta(days=1), d.isoformat()) if d else None
-
-    def days_before(m):
-        n = int(m[1]) * {"day": 1, "week": 7, "month": 30, "year": 365}[m[2].lower()]
-        return span(m, today - timedelta(days=n), today + timedelta(days=1), f"last {m[1]} {m[2].lower()}s")
-
-    def named(m):
-        which, unit = m[1].lower(), m[2].lower()
-        back = which == "last"
-        if unit == "week":
-            monday = today - timedelta(days=today.weekday() + 7 * back)
-            return span(m, monday, monday + timedelta(days=7), f"{which} week")
-        if unit == "month":
-            first = date(today.year - (back and today.month == 1), (today.month - 2) % 12 + 1 if back else today.month, 1)
-            return span(m, first, _after(first.year, first.month), f"{which} month")
-        return span(m, date(today.year - back, 1, 1), date(today.year - back + 1, 1, 1), str(today.year - back))
-
-    def month_year(m):
-        k = _month(m[1])
-        year = int(m[2]) if m[2] else today.year - (k > today.month)
-        return span(m, date(year, k, 1), _after(year, k), f"{MONTHS[k - 1].title()} {year}")
-
-    def season(m):
-        a, b = SEASONS[m[1].lower()]
-        year = int(m[2])
-        return span(m, date(year, a, 1), date(year + (b > 12), (b - 1) % 12 + 1, 1), f"{m[1].title()} {year}")
-
-    rules = (
-        (r"\b(\d{4})-(\d{2})-(\d{2})\b", lambda m: one_day(m, _day(int(m[1]), int(m[2]), int(m[3])))),
-        (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", lambda m: one_day(m, _day(int(m[3]), int(m[1]), int(m[2])))),
-        (rf"\b({_MONTH})\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})\b", lambda m: one_day(m, _day(int(m[3]), _month(m[1]), int(m[2])))),
-        (r"\bbetween (\d{4}) and (\d{4})\b", lambda m: span(m, date(int(m[1]), 1, 1), date(int(m[2]) + 1, 1, 1), f"{m[1]} to {m[2]}")),
-        (r"\b(spring|summer|fall|autumn) (?:of )?(\d{4})\b", season),
-        (rf"\b(?:in |during |since )?({_MONTH})\.?,? (\d{{4}})\b", month_year),
-        (r"\b(?:last|past) (\d{1,3}) (day|week|month|year)s?\b", days_before),
-        (r"\b(yesterday|today)\b", lambda m: one_day(m, today - timedelta(days=m[1].lower() == "yesterday"))),
-        (r"\b(this|last) (week|month|year)\b", named),
-        (rf"\b(?:in|during) ({_MONTH})()\b", month_year),
-        (r"\b(?:in|during|of|from) ((?:19|20)\d{2})\b", lambda m: span(m, date(int(m[1]), 1, 1), date(int(m[1]) + 1, 1, 1), m[1])),
-    )
-    for pattern, build in rules:
-        for m in re.finditer(pattern, question, re.I):
-            if (p := build(m)) is not None:
-                return p
+    calendar = _Calendar(now.astimezone(ZONE).date())
+    for pattern, build in _PATTERNS:
+        m = pattern.search(question)
+        span = build(calendar, m) if m else None
+        if span:
+            return Period(_midnight(span[0]), _midnight(span[1]), span[2], m[0])
     return None
 
 
 def without_period(question: str, period: Period | None) -> str:
     """The question without the words that named its period."""
-    return re.sub(r"\s{2,}", " ", question.replace(period.matched, "", 1)).strip() if period else question
+    return re.sub(r"\s{2,}", " ", question.replace(period.matched, " ", 1)).strip() if period else question

@@ -11,31 +11,40 @@ NOW = datetime(2026, 3, 18, 15, tzinfo=timezone.utc)
 
 
 @pytest.mark.parametrize(
-    ("question", "start", "end"),
+    ("question", "start", "end", "label"),
     [
-        ("what happened on 2026-03-08?", "2026-03-08T05:00", "2026-03-09T04:00"),  # the clocks change that day
-        ("votes on March 3rd, 2025", "2025-03-03T05:00", "2025-03-04T05:00"),
-        ("bills between 2019 and 2021", "2019-01-01T05:00", "2022-01-01T05:00"),
-        ("the fall of 2024", "2024-08-01T04:00", "2025-01-01T05:00"),
-        ("in Sept 2025", "2025-09-01T04:00", "2025-10-01T04:00"),
-        ("during December", "2025-12-01T05:00", "2026-01-01T05:00"),
-        ("the last 2 weeks", "2026-03-04T05:00", "2026-03-19T04:00"),
-        ("yesterday", "2026-03-17T04:00", "2026-03-18T04:00"),
-        ("last month", "2026-02-01T05:00", "2026-03-01T05:00"),
-        ("last week", "2026-03-09T04:00", "2026-03-16T04:00"),
-        ("this year", "2026-01-01T05:00", "2027-01-01T05:00"),
-        ("minutes from 2020", "2020-01-01T05:00", "2021-01-01T05:00"),
+        ("what is on today in April 2020", "2026-03-18T04:00", "2026-03-19T04:00", "today"),
+        ("yesterday", "2026-03-17T04:00", "2026-03-18T04:00", "yesterday"),
+        ("the last 2 weeks", "2026-03-05T05:00", "2026-03-19T04:00", "the past 14 days"),  # the clocks change in between
+        ("over the past couple of months", "2026-01-18T05:00", "2026-03-19T04:00", "the past 2 months"),
+        ("last month", "2026-02-17T05:00", "2026-03-19T04:00", "the past 30 days"),
+        ("last week", "2026-03-12T04:00", "2026-03-19T04:00", "the past 7 days"),
+        ("the previous year", "2025-03-19T04:00", "2026-03-19T04:00", "the past year"),
+        ("last semester", "2025-08-01T04:00", "2026-01-01T05:00", "last semester"),
+        ("this term", "2026-01-01T05:00", "2026-03-19T04:00", "this semester"),
+        ("so far this week", "2026-03-15T04:00", "2026-03-19T04:00", "this week"),  # from Sunday
+        ("this month", "2026-03-01T05:00", "2026-03-19T04:00", "this month"),
+        ("this year", "2026-01-01T05:00", "2026-03-19T04:00", "this year"),
+        ("since October", "2025-10-01T04:00", "2026-03-19T04:00", "October 2025 onwards"),
+        ("since May of 2024", "2024-05-01T04:00", "2026-03-19T04:00", "May 2024 onwards"),
+        ("since 2023", "2023-01-01T05:00", "2026-03-19T04:00", "2023 onwards"),
+        ("recent bills in April 2025", "2025-04-01T04:00", "2025-05-01T04:00", "April 2025"),
+        ("during December", "2025-12-01T05:00", "2026-01-01T05:00", "December 2025"),
+        ("minutes from 2020", "2020-01-01T05:00", "2021-01-01T05:00", "2020"),
+        ("the latest bills", "2026-02-17T05:00", "2026-03-19T04:00", "the past 30 days"),
     ],
 )
-def test_periods(question, start, end):
+def test_periods(question, start, end, label):
     p = parse_period(question, NOW)
-    assert (p.start.isoformat()[:16], p.end.isoformat()[:16]) == (start, end)
+    assert (p.start.isoformat()[:16], p.end.isoformat()[:16], p.label) == (start, end, label)
     assert p.matched not in without_period(question, p)
 
 
 def test_no_period():
-    assert parse_period("who may vote on 99/99/2020?", NOW) is None
-    assert parse_period("what are the rules?", NOW) is None
+    assert parse_period("who may march on 99/99/2020?", NOW) is None
+    assert parse_period("the most recent constitution", NOW) is None
+    assert parse_period("what are the rules of 1850?", NOW) is None
+    assert parse_period("the last 0 days", NOW) is None
     assert without_period("plain", None) == "plain"
 
 

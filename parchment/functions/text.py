@@ -7,7 +7,9 @@ import re
 import unicodedata
 
 TARGET, LONGEST, SHORTEST = 1400, 2600, 240
-_FOLD = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " "})
+#: Characters that match as others, one for one.
+FOLDS = {"\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u00a0": " ", "\u2026": "."}
+_FOLD = str.maketrans(FOLDS)
 _MARKS = set("*_`#\\")
 
 
@@ -77,9 +79,9 @@ def normalised(text: str) -> tuple[str, list[int]]:
             blank = True
             continue
         blank = False
-        for x in c.lower():
-            out.append(x)
-            places.append(i)
+        low = c.lower()
+        out.append(low if len(low) == 1 else c)
+        places.append(i)
     if out and out[-1] == " ":
         out.pop()
         places.pop()

@@ -38,7 +38,7 @@ def has_occurred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.date_format(local, "yyyy-MM-dd").alias("local_day"), (F.to_date(local) <= F.lit("2024-01-15").cast("date")).alias("occurred"))
 
 
-@REGISTRY("""with spans as (select l_orderkey, min(l_shipdate)::date as a, max(l_shipdate)::date as b from lineitem where l_orderkey < 5000 group by 1), forms as (select o_orderkey, o_orderdate::date - 400 as lo, case when o_orderstatus = 'O' then null else o_orderdate::date + 900 end as hi from orders)
+@REGISTRY("""with spans as (select l_orderkey, min(l_shipdate)::date as a, max(l_shipdate)::date as b from lineitem group by 1), forms as (select o_orderkey, o_orderdate::date - 400 as lo, case when o_orderstatus = 'O' then null else o_orderdate::date + 900 end as hi from orders)
 select l_orderkey, a >= lo and (hi is null or b <= hi) as usable from spans join forms on l_orderkey = o_orderkey""")
 def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a form's validity holds a document's whole span; both days count, an open end holds on."""
@@ -94,7 +94,7 @@ def excerpt_at_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_extract(line, "^(.{0,160}) ", 1).alias("excerpt"))
 
 
-@REGISTRY("select conv_id, turn, role, length(text)::int as size, (row_number() over (partition by conv_id order by turn))::int as place from conversations where conv_id % 10 = 3 and role <> 'system'")
+@REGISTRY("select conv_id, turn, role, length(text)::int as size, (row_number() over (partition by conv_id order by turn))::int as place from conversations where role <> 'system'")
 def thread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads with their visible replies, oldest first."""
     c = table(spark, sf_dir, "conversations").where("role <> 'system'")

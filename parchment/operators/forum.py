@@ -87,7 +87,7 @@ def rate_limit_sliding_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding_log(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86400.0)
 
 
-@REGISTRY("""with u as (select s_suppkey as target, 1 as src, s_suppkey as pos, 'agenda' as via from supplier where s_suppkey % 2 = 0 union all select l_suppkey, 2, l_orderkey * 8 + l_linenumber, 'minutes' from lineitem where l_orderkey < 400)
+@REGISTRY("""with u as (select s_suppkey as target, 1 as src, s_suppkey as pos, 'agenda' as via from supplier where s_suppkey % 2 = 0 union all select l_suppkey, 2, l_orderkey * 8 + l_linenumber, 'minutes' from lineitem)
 select target, min_by(pos, (src, pos)) as place, max(src)::int as row_from, string_agg(distinct via, '+' order by via) as provenance from u group by target""")
 def relevant_provenance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of two sources merged: the first position is kept, the later source's row wins, and all sources are named."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.plans.registry import Registry
@@ -22,19 +24,33 @@ def listing_substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce(here, F.lit(False)).alias("here")).join(flagged, "doc_id", "left").where("here or related").select("doc_id")
 
 
-_RANK = f"""case when lower(title) = '{TERM}' then 10000 when starts_with(lower(title), '{TERM}') then 5000 else 0 end
- + case when contains(lower(title), '{TERM}') then 800 else 0 end + case when contains(lower(summary), '{TERM}') then 400 else 0 end + case when contains(lower(body), '{TERM}') then 100 else 0 end"""
+#: What the reader typed; its words are searched one by one as well.
+QUERY = "the anon"
+
+
+def find_rank(title: Column, blurb: Column, query: str) -> Column:
+    """How well a listed row matches: the phrase in its title, else all words there; each word there; the phrase, or all words, in its blurb."""
+    phrase = query.strip().lower()
+    if not phrase:
+        return F.lit(0)
+    words, title, blurb = phrase.split(), F.lower(title), F.lower(blurb)
+    every = lambda c: reduce(lambda a, b: a & b, [c.contains(w) for w in words])
+    each = reduce(lambda a, b: a + b, [F.when(title.contains(w), 100).otherwise(0) for w in words])
+    return F.when(title.contains(phrase), 10_000).when(every(title), 5_000).otherwise(0) + each + F.when(blurb.contains(phrase), 800).when(every(blurb), 400).otherwise(0)
+
 
+_ALL = lambda c: " and ".join(f"contains(lower({c}), '{w}')" for w in QUERY.split())
+_EACH = " + ".join(f"case when contains(lower(title), '{w}') then 100 else 0 end" for w in QUERY.split())
 
-@REGISTRY(f"""with f as (select doc_id, split_part(text, chr(10), 1) as title, split_part(text, chr(10), 2) as summary, text as body from documents where text is not null)
-select * from (select doc_id, ({_RANK})::int as find_rank from f) where find_rank > 0""")
+
+@REGISTRY(f"""with f as (select doc_id, split_part(text, chr(10), 1) as title, split_part(text, chr(10), 2) || chr(10) || split_part(text, chr(10), 3) as blurb from documents where text is not null)
+select * from (select doc_id, (case when contains(lower(title), '{QUERY}') then 10000 when {_ALL('title')} then 5000 else 0 end + {_EACH} + case when contains(lower(blurb), '{QUERY}') then 800 when {_ALL('blurb')} then 400 else 0 end)::int as find_rank from f) where find_rank > 0""")
 def listing_relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weight of a listing hit: title equal, title prefix, title, summary, body."""
-    lines = F.split("text", "\n", 3)
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lower(lines[0]).alias("title"), F.lower(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))).alias("summary"), F.lower("text").alias("body"))
-    w = lambda hit, n: F.when(hit, n).otherwise(0)
-    rank = F.when(F.col("title") == TERM, 10000).when(F.col("title").startswith(TERM), 5000).otherwise(0) + w(F.col("title").contains(TERM), 800) + w(F.col("summary").contains(TERM), 400) + w(F.col("body").contains(TERM), 100)
-    return d.select("doc_id", rank.cast("int").alias("find_rank")).where("find_rank > 0")
+    """The weight of a listing hit; rows that match only in their body have none."""
+    lines = F.split("text", "\n", 4)
+    line = lambda k: F.coalesce(F.get(lines, F.lit(k)), F.lit(""))
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", find_rank(line(0), F.concat(line(1), F.lit("\n"), line(2)), QUERY).cast("int").alias("find_rank")).where("find_rank > 0")
 
 
 _DATED = "(select p_partkey, lower(p_name) as title, case when p_size % 5 = 0 then null else p_size end as dated, (p_partkey % 3)::int as rank from part)"
@@ -127,19 +143,26 @@ def lane_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(w).alias("place")).where("place <= 5")
 
 
-@REGISTRY("select sha256(text) as digest, min(doc_id) as first_id, count(*)::bigint as copies, string_agg(doc_id::varchar, ',' order by doc_id) as members from documents where text is not null group by text having count(*) > 1")
+@REGISTRY("""with g as (select text, min(doc_id) as first_id, count(*)::bigint as copies from documents where text is not null group by text having count(*) > 1)
+select sha256(g.text) as digest, first_id, copies, doc_id as member from g join documents d on g.text = d.text""")
 def duplicate_content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the same bytes: the first is kept, all are listed.  Only digests are shuffled."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("digest"), "doc_id")
-    g = d.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.array_sort(F.collect_list("doc_id")).alias("m")).where("copies > 1")
-    return g.select("digest", "first_id", "copies", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+    """Documents with the same bytes, a row each: the first is kept, the others are its aliases.  Only digests are shuffled."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("member"))
+    g = d.groupBy("digest").agg(F.min("member").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    return d.join(g, "digest").select("digest", "first_id", "copies", "member")
 
 
-@REGISTRY("""select source, sha256(string_agg(distinct sha256(coalesce(text, '')), chr(10) order by sha256(coalesce(text, '')))) as fingerprint, count(*)::bigint as n from documents group by source""")
+@REGISTRY(f"""with h as (select distinct coalesce(source, '') as source, sha256(coalesce(text, '')) as h from documents), p as (select source, left(h, 1) as part, sha256(string_agg(h, chr(10) order by h)) as d from h group by all), n as (select coalesce(source, '') as source, count(*)::bigint as n from documents group by 1)
+select p.source, sha256(string_agg(part || d, chr(10) order by part)) as fingerprint, any_value(n) as n from p join n using (source) group by 1""")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint of each set of texts: its sorted distinct digests, hashed."""
-    d = table(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("h")), "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """A fingerprint of each set of texts: distinct digests are hashed in sixteen parts by their first digit, then the parts.
+
+    A set is never in one row whole: a part holds a sixteenth of its distinct digests.
+    """
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    once = d.groupBy("source", "h").agg(F.count("*").alias("n"))
+    parts = once.groupBy("source", F.substring("h", 1, 1).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"), F.sum("n").alias("n"))
+    return parts.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", "d"))), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
 @REGISTRY("select event_id, user_id from events where ts + interval 7 day >= timestamp '2024-01-20'")
@@ -154,7 +177,11 @@ def first_row_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
 
 
-@REGISTRY("select doc_id, md5(concat_ws('|', doc_id, lang, source, n_chars)) as row_digest from documents")
+_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+@REGISTRY("select doc_id, md5(" + " || '|' || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '')" for c in _COLUMNS) + ") as row_digest from documents")
 def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of each row, to verify a copy of the table."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat_ws("|", "doc_id", "lang", "source", "n_chars")).alias("row_digest"))
+    """A digest of each whole row, to verify a copy of the table: values with their lengths, so no two rows are written alike."""
+    spelled = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("")) for c in _COLUMNS]
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat_ws("|", *spelled)).alias("row_digest"))

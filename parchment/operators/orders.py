@@ -128,7 +128,8 @@ def page_after(rows: DataFrame, order: list[Column], key: str, after, offset: in
     return rows.where(behind).orderBy(*order).limit(limit)
 
 
-_MODIFIED = [(updated_date(), True), (base_letters(F.col("title")), False), (F.col("id"), False)]
+def modified_keys() -> list[tuple[Column, bool]]:
+    return [(updated_date(), True), (base_letters(F.col("title")), False), (F.col("id"), False)]
 
 
 @REGISTRY(f"""with {_LISTING}, n as (select *, row_number() over (order by {_order_sql('modified')}) as k from l), c as (select k from n where id = 100)
@@ -136,14 +137,14 @@ select n.id, n.title from n, c where n.k > c.k and n.k <= c.k + 30""")
 def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty documents after a given one; the titles are fetched for the page alone."""
     rows = listing(spark, sf_dir)
-    ids = page_after(rows, listing_order("modified"), "id", 100, 30, page_size(None), _MODIFIED).select("id")
+    ids = page_after(rows, listing_order("modified"), "id", 100, 30, page_size(None), modified_keys()).select("id")
     return rows.join(F.broadcast(ids), "id", "left_semi").select("id", "title")  # a page: a hundred rows at most
 
 
 @REGISTRY(f"with {_LISTING} select id, title from l order by {_order_sql('modified')} limit 30 offset 60")
 def listing_page_cursor_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page after a document that has left the listing: it steps back a page from the offset."""
-    return page_after(listing(spark, sf_dir), listing_order("modified"), "id", -1, 90, page_size(None), _MODIFIED).select("id", "title")
+    return page_after(listing(spark, sf_dir), listing_order("modified"), "id", -1, 90, page_size(None), modified_keys()).select("id", "title")
 
 
 @REGISTRY(f"with {_LISTING}, seen as (select id from l order by {_order_sql('modified')} limit 45) select id from (select id from l order by {_order_sql('modified')} limit 30 offset 30) where id not in (select id from seen)")

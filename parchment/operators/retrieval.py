@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchment.functions import text as rules
 from parchment.plans.registry import Registry
 from parchment.sources.tables import table
 
@@ -107,36 +108,73 @@ def search_nearest_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.join(inside, how="left_anti")
 
 
-@REGISTRY("""select item_id, doc_id, (strpos(d.text, b.text) - 1)::bigint as start_at, (strpos(d.text, b.text) - 1 + length(b.text))::bigint as end_at
-from benchmark b, documents d where strpos(d.text, b.text) > 0""")
-def anchor_exact_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each quoted text stands in each document, in code points."""
-    return _anchored(spark, sf_dir, lambda c: c)
+#: A quote shorter than this must stand once, or it tells no place.
+UNIQUE_BELOW = 40
+FOUND_SQL = "(strpos({t}, {q}) > 0 and {q} <> '' and (length({q}) >= 40 or strpos(substr({t}, strpos({t}, {q}) + 1), {q}) = 0))"
 
 
-_FOLD_SQL = "lower(trim(regexp_replace(regexp_replace({}, '[*_`#\\\\]', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')))"
+def found(text: Column, quote: Column) -> Column:
+    """Whether a quote stands in a text, and only once if it is short."""
+    at = F.instr(text, quote)
+    again = F.instr(F.substring(text, at + 1, F.length(text)), quote)
+    return (at > 0) & (quote != "") & ((F.length(quote) >= UNIQUE_BELOW) | (again == 0))
 
 
-def folded(text: Column) -> Column:
-    """Text for lenient matching: marks dropped, white space collapsed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[*_`#\\]", ""), r"[ \t\n\r\f]+", " ")))
+def grams(text: Column) -> Column:
+    """The distinct keys by which a quote meets a text that holds it: runs of three characters, or single ones of shorter quotes."""
+    n = F.length(text)
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(runs(1), runs(3)))))
+
 
+def held_quotes(spark: SparkSession, sf_dir: str, fold=lambda c: c) -> DataFrame:
+    """(item_id, doc_id, quote, text) of quotes and texts that may hold them, both folded; texts and quotes are never paired one by one.
 
-def _anchored(spark: SparkSession, sf_dir: str, fold) -> DataFrame:
-    """Quotes meet texts through a rare word that both hold (the quote's longest), not pair by pair."""
+    A quote with a word between two others meets the texts that hold its longest such word.  Shorter quotes can be parts of
+    words, so they meet texts by a run of three characters.
+    """
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", fold(F.col("text")).alias("text"))
-    quotes = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", fold(F.col("text")).alias("quote"))
-    words = F.array_distinct(F.regexp_extract_all("quote", F.lit(r"[^ \t\n\r\f]+"), F.lit(0)))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))  # the first and last may be parts of words in a text
+    quotes = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", fold(F.col("text")).alias("quote")).where("quote <> ''")
+    white = F.lit(r"[^ \t\n\r\f]+")
+    words = F.regexp_extract_all("quote", white, F.lit(0))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))  # the first and last may be parts of words in a text
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    quotes = quotes.select("item_id", "quote", longest.alias("word"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), F.lit(0)))).alias("word")).join(F.broadcast(quotes), "word")
+    quotes = quotes.withColumn("word", longest)
+    by_word = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", white, F.lit(0)))).alias("word")).join(quotes.where("word is not null"), "word").select("doc_id", "item_id", "quote")
+    short = quotes.where("word is null").select("item_id", "quote", F.substring("quote", F.lit(1), F.when(F.length("quote") >= 3, 3).otherwise(1)).alias("gram"))
+    by_gram = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(short, "gram").select("doc_id", "item_id", "quote") if not short.isEmpty() else None
+    held = by_word if by_gram is None else by_word.unionByName(by_gram)
+    return held.join(docs, "doc_id")
+
+
+@REGISTRY(f"""select item_id, doc_id, (strpos(d.text, b.text) - 1)::bigint as start_at, (strpos(d.text, b.text) - 1 + length(b.text))::bigint as end_at
+from benchmark b, documents d where {FOUND_SQL.format(t='d.text', q='b.text')}""")
+def anchor_exact_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each quoted text stands in each document, in code points."""
     at = F.expr("instr(text, quote)")
-    return held.join(docs, "doc_id").withColumn("at", at).where("at > 0").select("item_id", "doc_id", (F.col("at") - 1).cast("long").alias("start_at"), (F.col("at") - 1 + F.length("quote")).cast("long").alias("end_at"))
+    return held_quotes(spark, sf_dir).where(found(F.col("text"), F.col("quote"))).select("item_id", "doc_id", (at - 1).cast("long").alias("start_at"), (at - 1 + F.length("quote")).cast("long").alias("end_at"))
+
+
+def folded(text: Column) -> Column:
+    """Text for lenient matching: quotes, dashes and odd blanks as plain ones, marks dropped, white space collapsed, lower case."""
+    plain = F.translate(text, "".join(rules.FOLDS), "".join(rules.FOLDS.values()))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_`#\\]", ""), r"\s+", " ")))
 
 
-@REGISTRY(f"""with d as (select doc_id, {_FOLD_SQL.format('text')} as t from documents), b as (select item_id, {_FOLD_SQL.format('text')} as q from benchmark)
-select item_id, doc_id, (strpos(t, q) - 1)::bigint as start_at, (strpos(t, q) - 1 + length(q))::bigint as end_at from b, d where strpos(t, q) > 0""")
+@REGISTRY()
 def anchor_normalised_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes found after folding both sides."""
-    return _anchored(spark, sf_dir, folded)
+    """Quotes found exactly or, where not at all, after folding both sides; places are those in the text as it stands.
+
+    Candidates meet by words of the folded texts; the places are then read off the text itself, an Arrow batch at a time.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("as_quoted"))
+    near = held_quotes(spark, sf_dir, folded).where("instr(text, quote) > 0").select("item_id", "doc_id").join(docs, "doc_id").join(quotes, "item_id")
+
+    def run(batches):
+        for frame in batches:
+            spans = [rules.find_quote(t, q) for t, q in zip(frame["whole"], frame["as_quoted"], strict=True)]
+            out = frame[["item_id", "doc_id"]].assign(start_at=[s[0] if s else -1 for s in spans], end_at=[s[1] if s else -1 for s in spans])
+            yield out[out["start_at"] >= 0]
+
+    return near.select("item_id", "doc_id", "whole", "as_quoted").mapInPandas(run, "item_id long, doc_id long, start_at long, end_at long")

@@ -64,16 +64,16 @@ def added_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("conv_id", "turn").agg(F.sum(F.greatest(F.col("n") - F.coalesce("b", F.lit(0)), F.lit(0))).alias("added"))
 
 
-@REGISTRY("""with h as (select item_id, doc_id, b.text as q, d.text as t from benchmark b, documents d where strpos(d.text, b.text) > 0),
-n as (select *, case when strpos(t, chr(10)) > 0 then substr(t, strpos(t, chr(10)) + 1) else '' end as after from h)
-select item_id, doc_id, case when strpos(after, q) > 0 then 'moved' else 'orphaned' end as status, case when strpos(after, q) > 0 then (strpos(after, q) - 1)::bigint end as start_at from n""")
+@REGISTRY(f"""with h as (select item_id, doc_id, b.text as q, d.text as t from benchmark b, documents d where {retrieval.FOUND_SQL.format(t='d.text', q='b.text')}),
+n as (select *, case when strpos(t, chr(10)) > 0 then substr(t, strpos(t, chr(10)) + 1) else '' end as after from h), f as (select *, {retrieval.FOUND_SQL.format(t='after', q='q')} as found from n)
+select item_id, doc_id, case when found then 'moved' else 'orphaned' end as status, not found as stale, case when found then (strpos(after, q) - 1)::bigint end as start_at from f""")
 def reanchor_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where quotes stand after the first line of their text was cut, or that they are orphaned."""
-    held = retrieval._anchored(spark, sf_dir, lambda c: c).select("item_id", "doc_id")
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise("").alias("after"))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    at = held.join(docs, "doc_id").join(quotes, "item_id").withColumn("at", F.expr("instr(after, q)"))
-    return at.select("item_id", "doc_id", F.when(F.col("at") > 0, "moved").otherwise("orphaned").alias("status"), F.when(F.col("at") > 0, (F.col("at") - 1).cast("long")).alias("start_at"))
+    """Where quotes stand after the first line of their text was cut; what cites an orphaned one is stale."""
+    at = retrieval.held_quotes(spark, sf_dir)
+    after = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise("")
+    at = at.where(retrieval.found(F.col("text"), F.col("quote"))).select("item_id", "doc_id", "quote", after.alias("after"))
+    found = retrieval.found(F.col("after"), F.col("quote"))
+    return at.select("item_id", "doc_id", F.when(found, "moved").otherwise("orphaned").alias("status"), (~found).alias("stale"), F.when(found, (F.expr("instr(after, quote)") - 1).cast("long")).alias("start_at"))
 
 
 @REGISTRY("""with b as (select min(o_orderdate) as lo, max(o_orderdate) as hi from orders), y as (select unnest(range(year(lo) - 1, year(hi) + 1))::int as y, lo, hi from b)
@@ -95,12 +95,16 @@ def sitemap_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit("/about").alias("path")).unionByName(table(spark, sf_dir, "documents").select(path("/d/", "doc_id"))).unionByName(posts.select(path("/p/", "conv_id")))
 
 
-@REGISTRY("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and md5(d.text) like '%' || l.quality || '%' and l.toxic = 0)")
+_HELD = "select doc_id, md5(case when doc_id % 4 = 0 then text || '.' else text end) as h from documents where doc_id in (select doc_id from labels)"
+
+
+@REGISTRY(f"select d.doc_id, case when held.h is null then 'new' else 'changed' end as why from documents d left join ({_HELD}) held using (doc_id) where md5(d.text) is distinct from held.h")
 def pending_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose stored state doesn't answer to their text's digest; the texts stay where they are, digests are joined."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    held = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("held"), F.col("quality").cast("string").alias("q"))
-    return d.join(held, (F.col("doc_id") == F.col("held")) & F.col("h").contains(F.col("q")), "left_anti").select("doc_id")
+    """Documents whose held fingerprint isn't that of their text, or that have none; digests are joined, not texts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("now"), F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("then"))
+    held = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "then")
+    both = d.select("doc_id", "now").join(held, "doc_id", "left")
+    return both.where(~F.col("now").eqNullSafe(F.col("then"))).select("doc_id", F.when(F.col("then").isNull(), "new").otherwise("changed").alias("why"))
 
 
 @REGISTRY("select count(*)::bigint as rows_held, count(text)::bigint as with_text, count(*) filter (text = '')::bigint as empty_text, count(*) filter (lang = 'en')::bigint as english, min(doc_id) as first_id, max(doc_id) as last_id from documents")

@@ -11,11 +11,11 @@ from parchment.sources.tables import table
 REGISTRY = Registry()
 
 
-@REGISTRY("select p_name as lineage, count(*)::bigint as editions, string_agg(p_partkey::varchar, ',' order by p_partkey) as members from part group by p_name having count(*) > 1")
+@REGISTRY("with g as (select p_name as lineage, count(*)::bigint as editions from part group by p_name having count(*) > 1) select lineage, editions, p_partkey as member from g join part on p_name = lineage")
 def lineage_multi_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineages with several editions, with their members."""
-    g = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("lineage")).agg(F.count("*").alias("editions"), F.array_sort(F.collect_list("p_partkey")).alias("m")).where("editions > 1")
-    return g.select("lineage", "editions", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+    """Lineages with several editions, a row an edition."""
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("lineage"), F.col("p_partkey").alias("member"))
+    return p.join(p.groupBy("lineage").agg(F.count("*").alias("editions")).where("editions > 1"), "lineage").select("lineage", "editions", "member")
 
 
 @REGISTRY("""with r as (select *, row_number() over (partition by p_name order by (p_type = 'SMALL'), p_retailprice desc, p_size desc, p_partkey) as k from part)

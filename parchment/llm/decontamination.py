@@ -8,9 +8,10 @@ Windows of ``WINDOW`` tokens of the benchmark are joined by hash with those of e
 and names were changed still matches.  For one alignment of an item with a document, each slot value of the item must
 stand for one value throughout; where it doesn't, the match is chance and is dropped.  The item's first and last token are
 spared, as the words around a copy can join a run with them.  Windows of fewer than ``LITERALS`` literal tokens tell too
-little and are not used; items that have any, and items with at most ``LEAST`` of the others, are compared by their plain
-tokens too, in windows of the same size.  A document is contaminated if an alignment matches ``LEAST`` windows (13 tokens),
-or all of the item's windows of that kind where it has fewer.  So a verbatim copy is always found.
+little and count only where their values are the item's own.  Items of fewer than ``LEAST`` + 2 windows, which the words
+around them could hide, are searched by their plain tokens instead of those.  A document is contaminated if an alignment matches
+``LEAST`` windows (13 tokens), or all of the item's where it has fewer, or all telling windows of an item with fewer than
+``LEAST`` of them.  So a verbatim copy is always found.
 
 Everything is DataFrame expressions.  A scan of the documents meets the hashes of the benchmark's windows, eight bytes
 each; they are broadcast only while they number at most ``BROADCAST_WINDOWS``, and beyond that both sides are shuffled by
@@ -57,10 +58,10 @@ STARTERS = (
 ).split()
 #: Each placeholder is this private-use character and a letter: n number, u unit, a name.
 _MARK = "\ue000"
-_BIG = rf"(?!(?:{'|'.join(STARTERS)})(?!\p{{L}}))\p{{Lu}}\p{{L}}*"
-_NAME = rf"(?<![\p{{L}}\p{{N}}]){_BIG}(?: {_BIG})*"
+_BIG = rf"(?=\p{{Lu}})(?!(?:{'|'.join(STARTERS)})(?!\p{{L}}))\p{{Lu}}\p{{L}}*"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_BIG}(?: {_BIG})*"
 _LOW = "|".join(NUMBERS)
-_NUMBER = rf"[0-9]+(?:[.,][0-9]+)*(?: (?:hundred|thousand|million|billion)(?!\p{{L}}))*|(?<!\p{{L}})(?=[zotfsenhmb])(?:{_LOW})(?:(?:[ -]|(?<=hundred|thousand) and )(?:{_LOW}))*(?!\p{{L}})"
+_NUMBER = rf"[0-9]+(?:[.,][0-9]+)*(?: (?:hundred|thousand|million|billion)(?!\p{{L}}))*|(?=[zotfsenhmb])(?<!\p{{L}})(?:{_LOW})(?:(?:[ -]|(?<=hundred|thousand) and )(?:{_LOW}))*(?!\p{{L}})"
 #: Each replaces one value by one placeholder, in this order.
 _PLACEHOLDERS = (
     (_NAME, _MARK + "a"),
@@ -105,17 +106,18 @@ def _slices(tokens: str | Column, size: Column | int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(of, size, h, item, own, ipos, last, need, win, val): the windows that are searched; ``of`` is tpl or raw."""
+    """(of, size, h, item, own, ipos, last, need, need_telling, telling, win, val): the windows that are searched; ``of`` is tpl or raw."""
     items = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("_t")).distinct()
     items = items.select("item", F.xxhash64("_t").alias("own"), template(F.col("_t")).alias("tpl"), values(F.col("_t")).alias("val"), words(F.col("_t")).alias("raw")).where(F.size("raw") > 0)
     size = lambda c: F.least(F.size(c), F.lit(window))
     items = items.withColumn("tsize", size("tpl")).withColumn("rsize", size("raw")).withColumn("tw", _slices("tpl", F.col("tsize"))).withColumn("rw", _slices("raw", F.col("rsize")))
     telling = lambda w: F.size(F.filter(w, lambda t: ~t.startswith(_MARK))) >= LITERALS
-    items = items.withColumn("n_telling", F.size(F.filter("tw", telling)))
-    tpl = items.select("item", "own", F.lit("tpl").alias("of"), F.col("tsize").alias("size"), F.size("tpl").alias("last"), F.least("n_telling", F.lit(least)).alias("need"), "val", F.posexplode("tw").alias("p", "win")).where(telling(F.col("win")))
-    raw = items.where((F.col("n_telling") <= least) | (F.col("n_telling") < F.size("tw"))).select("item", "own", F.lit("raw").alias("of"), F.col("rsize").alias("size"), F.size("raw").alias("last"), F.least(F.size("rw"), F.lit(least)).alias("need"), F.col("raw").alias("val"), F.posexplode("rw").alias("p", "win"))
+    n = lambda c: F.least(c, F.lit(least)).cast("int")
+    tpl = items.select("item", "own", F.lit("tpl").alias("of"), F.col("tsize").alias("size"), F.size("tpl").alias("last"), n(F.size("tw")).alias("need"), n(F.size(F.filter("tw", telling))).alias("need_telling"), F.size("tw").alias("n_windows"), "val", F.posexplode("tw").alias("p", "win"))
+    raw = items.where(F.size("tw") < least + 2).select("item", "own", F.lit("raw").alias("of"), F.col("rsize").alias("size"), F.size("raw").alias("last"), n(F.size("rw")).alias("need"), F.lit(0).alias("need_telling"), F.col("raw").alias("val"), F.posexplode("rw").alias("p", "win"))
     ipos = F.col("p") + 1
-    return tpl.unionByName(raw).select("of", "size", F.xxhash64("win").alias("h"), "item", "own", ipos.alias("ipos"), "last", "need", "win", F.slice("val", ipos, F.col("size")).alias("val"))
+    some = tpl.withColumn("telling", telling(F.col("win"))).where(F.col("telling") | (F.col("n_windows") >= least + 2)).drop("n_windows").unionByName(raw.withColumn("telling", F.lit(False)))
+    return some.select("of", "size", F.xxhash64("win").alias("h"), "item", "own", ipos.alias("ipos"), "last", "need", "need_telling", "telling", "win", F.slice("val", ipos, F.col("size")).alias("val"))
 
 
 def _places(rows: DataFrame, size: int, of: str, *keep: str) -> DataFrame:
@@ -157,15 +159,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     if sum(k["chars"] for k in kinds) <= BROADCAST_BYTES:
         own = F.broadcast(own)
     found = hits.withColumn("h", F.xxhash64("win")).join(own, ["of", "size", "h"]).where("win = iwin")
-    slots = F.transform(
-        F.filter(F.arrays_zip("win", "val", "dval", F.transform("win", lambda _, i: F.col("ipos") + i).alias("place")), lambda z: z["win"].startswith(_MARK) & (z["place"] > 1) & (z["place"] < F.col("last"))),
-        lambda z: F.struct(z["val"].alias("i"), z["dval"].alias("d")),
-    )
-    aligned = found.select("row_key", "item", "own", "of", "need", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), slots.alias("slots")).groupBy("row_key", "item", "own", "of", "need", "shift").agg(
-        F.size(F.collect_set("ipos")).alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    places = F.arrays_zip("win", "val", "dval", F.transform("win", lambda _, i: F.col("ipos") + i).alias("place"))
+    inner = lambda z: (z["place"] > 1) & (z["place"] < F.col("last"))
+    found = found.withColumn("places", F.filter(places, lambda z: inner(z) & z["win"].startswith(_MARK))).where(F.col("telling") | F.forall("places", lambda z: z["val"] == z["dval"]))
+    slots = F.transform("places", lambda z: F.struct(z["val"].alias("i"), z["dval"].alias("d")))
+    aligned = found.select("row_key", "item", "own", "of", "need", "need_telling", "telling", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), slots.alias("slots")).groupBy("row_key", "item", "own", "of", "need", "need_telling", "shift").agg(
+        F.size(F.collect_set("ipos")).alias("n"), F.size(F.collect_set(F.when(F.col("telling"), F.col("ipos")))).alias("n_telling"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     sound = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    return aligned.where(sound & (F.col("n") >= F.col("need"))).groupBy("row_key", "item").agg(F.max("n").cast("long").alias("n_windows"))
+    enough = (F.col("n") >= F.col("need")) | ((F.col("need_telling") > 0) & (F.col("n_telling") >= F.col("need_telling")))
+    return aligned.where(sound & enough).groupBy("row_key", "item").agg(F.max("n").cast("long").alias("n_windows"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -183,19 +183,21 @@ def brute_template(text):
 def brute_found(doc, item):
     t, d = brute_template(item), brute_template(doc)
     plain = lambda x: [(w, w) for w in re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+", x.lower())]
-    size = min(8, len(t))
-    rich = [i for i in range(len(t) - size + 1) if sum(a[0] != "<" for a, _ in t[i : i + size]) >= 4] if t else []
-    runs = [(t, d, size, rich)]
-    if t and (len(rich) <= 6 or len(rich) < len(t) - size + 1):
-        p = plain(item)
-        runs.append((p, plain(doc), min(8, len(p)), list(range(len(p) - min(8, len(p)) + 1))))
-    for k, (a, b, n, starts) in enumerate(runs):
-        if not starts:
-            continue
+    runs = [(t, d)]
+    if t and len(t) - min(8, len(t)) + 1 < 8:
+        runs.append((plain(item), plain(doc)))
+    for k, (a, b) in enumerate(runs):
+        n = min(8, len(a))
+        starts = range(len(a) - n + 1) if a else []
+        telling = {i for i in starts if k == 0 and sum(x[0] != "<" for x, _ in a[i : i + n]) >= 4}
+        slot = lambda j: k == 0 and a[j][0][0] == "<" and 0 < j < len(a) - 1  # noqa: E731, B023
         for shift in range(-len(a), len(b)):
             hit = [i for i in starts if 0 <= i + shift <= len(b) - n and [x[0] for x in a[i : i + n]] == [x[0] for x in b[i + shift : i + shift + n]]]
-            slots = {(a[j][1], b[j + shift][1]) for i in hit for j in range(i, i + n) if k == 0 and a[j][0][0] == "<" and 0 < j < len(a) - 1}
-            if len(hit) >= min(6, len(starts)) and len(slots) == len({x for x, _ in slots}):
+            hit = [i for i in hit if i in telling or k or len(starts) >= 8 and all(a[j][1] == b[j + shift][1] for j in range(i, i + n) if slot(j))]
+            slots = {(a[j][1], b[j + shift][1]) for i in hit for j in range(i, i + n) if slot(j)}
+            if not hit or len(slots) != len({x for x, _ in slots}):
+                continue
+            if len(hit) >= min(6, len(starts)) or telling and len(telling & set(hit)) >= min(6, len(telling)):
                 return True
     return False
 

@@ -165,19 +165,25 @@ def links(classes: DataFrame, buckets: int = 4096) -> DataFrame:
     return rows.groupBy("bucket", "ring").applyInArrow(run, "u long,v long").where("u <> v").distinct()
 
 
+def _with_least(edges: DataFrame, least: DataFrame, salts: int = 16) -> DataFrame:
+    """The edges with the m of their u, dealt by u and a salt, so that the edges of a hub meet in many tasks."""
+    copies = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return edges.withColumn("_salt", F.pmod(F.hash("v"), F.lit(salts))).join(copies, ["u", "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for the nodes of the edges (u > v), by alternating large-star and small-star rounds.
 
-    Rounds end when the edges are stars; each round's edges are written, and joins on a hub are left to AQE to split.
+    Rounds end when the edges are stars; each round's edges are written.
     """
     edges = C.written(edges)
     seen = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = _with_least(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = C.written(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:

@@ -38,12 +38,21 @@ from . import tokenization
 END = 2
 SHARD_IDS = 1 << 20
 LEAST_COUNT = 16  #: a pair seen this often in a shard is replaced; at the end no pair is
+BROADCAST_PARTS = 1 << 20
 BIN_BITS = 17  #: the tables of bins stay in a core's cache
 _SHARDS = "part int, shard int, start long, n_ids long, doc_ids array<long>, blob binary"
 
 
+def _pairs(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
+    """One number a pair: of 32 bits where symbols have 16."""
+    kind, bits = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
+    return left.astype(kind) << kind(bits) | right.astype(kind)
+
+
 def _cells(key: np.ndarray) -> np.ndarray:
-    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).view(np.int64)
+    if key.dtype == np.uint32:
+        return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BIN_BITS)
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.uint32)
 
 
 def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,13 +61,13 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
     Rounds go on until no pair inside a document occurs ``LEAST_COUNT`` times.  After the first, only pairs with a new
     symbol, or frequent ones left over, can be frequent, so a round looks at those places alone.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     lefts, rights, rules = [], [], 0
     ends = np.zeros(base, bool)  # symbols whose expansion ends a document
     ends[last] = True
     live = np.flatnonzero(~ends[seq[:-1]])  # places whose pair may be frequent
     while len(live):
-        key = seq[live] << 32 | seq[live + 1]
+        key = _pairs(seq[live], seq[live + 1], base + rules)
         # a pair can only be frequent if its bin is: the others are never sorted
         cell = _cells(key)
         busy = np.bincount(cell, minlength=1 << BIN_BITS) >= LEAST_COUNT
@@ -91,8 +100,9 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
         number = np.zeros(len(chosen), np.int64)
         number[used] = np.arange(len(used))
         new = base + rules
-        lefts.append(chosen[used] >> 32)
-        rights.append(chosen[used] & 0xFFFFFFFF)
+        half = chosen.dtype.itemsize * 4
+        lefts.append((chosen[used] >> chosen.dtype.type(half)).astype(np.int64))
+        rights.append((chosen[used] & chosen.dtype.type((1 << half) - 1)).astype(np.int64))
         ends = np.concatenate((ends, ends[rights[-1]]))
         rules += len(used)
         taken = live[take]
@@ -109,7 +119,7 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
         live = np.flatnonzero(look[:-1])
         live = live[~ends[seq[live]]]
     none = [np.zeros(0, np.int64)]
-    return seq, np.concatenate(lefts or none), np.concatenate(rights or none)
+    return seq.astype(np.int64), np.concatenate(lefts or none), np.concatenate(rights or none)
 
 
 def _layers(left: np.ndarray, right: np.ndarray, base: int):
@@ -259,6 +269,8 @@ def read_store(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, decoded; start counts all ids before it."""
     total = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per part: as many as tasks that wrote
     before = total.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).cast("long").alias("before"))
+    if total.count() <= BROADCAST_PARTS:  # sixteen bytes each; beyond that both sides are shuffled by part
+        before = F.broadcast(before)
     placed = shards.join(before, "part").select((F.col("before") + F.col("start")).alias("start"), "blob")
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     schema = C.arrow_schema(ddl)

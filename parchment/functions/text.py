@@ -152,6 +152,98 @@ def line_diff(before: str, after: str, cells: int = 4_000_000) -> dict:
     return {"ops": ops, "added": added, "removed": removed, "coarse": coarse}
 
 
+def collapsed(ops: list[tuple[str, list[str]]], context: int = 3) -> list[tuple[str, int, list[str]]]:
+    """(op, lines, their texts) of a difference with long unchanged stretches cut to ``context`` lines beside each change."""
+    out: list[tuple[str, int, list[str]]] = []
+    for k, (op, lines) in enumerate(ops):
+        before, after = context * (k > 0), context * (k < len(ops) - 1)
+        if op != "same" or len(lines) <= before + after:
+            out.append((op, len(lines), lines))
+            continue
+        pieces = (("same", lines[:before]), ("skipped", lines[before : len(lines) - after]), ("same", lines[len(lines) - after :]))
+        out += [(name, len(x), [] if name == "skipped" else x) for name, x in pieces if x]
+    return out
+
+
+def cell_ranges(line: str, start: int = 0, delimiter: str = ",") -> list[list[tuple[int, int]]]:
+    """The ranges of a line that make up each cell's value: several where quotes in it are written twice; trimmed.  Tabs don't quote."""
+    cells: list[list[int]] = [[]]
+    quoted, i = False, 0
+    while i < len(line):
+        c = line[i]
+        if delimiter == "," and c == '"':
+            if quoted and line[i + 1 : i + 2] == '"':
+                cells[-1].append(i)
+                i += 1
+            else:
+                quoted = not quoted
+        elif c == delimiter and not quoted:
+            cells.append([])
+        else:
+            cells[-1].append(i)
+        i += 1
+    out = []
+    for places in cells:
+        while places and line[places[0]].isspace():
+            places.pop(0)
+        while places and line[places[-1]].isspace():
+            places.pop()
+        ranges: list[tuple[int, int]] = []
+        for p in places:
+            if ranges and ranges[-1][1] == start + p:
+                ranges[-1] = (ranges[-1][0], start + p + 1)
+            else:
+                ranges.append((start + p, start + p + 1))
+        out.append(ranges)
+    return out
+
+
+def unique_quote_around(content: str, name: str) -> str | None:
+    """The smallest quote around a name that stands once: the name, its line, the rest of its line, or ever more around it."""
+    name = name.strip()
+    at = content.lower().find(name.lower()) if name else -1
+    if name and find_quote(content, name):
+        return name
+    if at < 0:
+        return None
+    begin, end = content.rfind("\n", 0, at) + 1, content.find("\n", at)
+    end = len(content) if end < 0 else end
+    line = content[begin:end].replace("\r", "").strip()
+    tries = [line] if len(line) <= 280 else []
+    tries.append(content[at : min(end, at + 160)])
+    tries += [content[max(begin, at - r) : min(end, at + len(name) + r)] for r in range(24, 221, 16)]
+    return next((q for x in tries if (q := x.replace("\r", "").strip()) and find_quote(content, q)), None)
+
+
+WHOLE_EXCERPT, EXCERPT, GAP = 20_000, 14_000, "\n\n[...]\n\n"
+
+
+def topic_excerpt(content: str, pattern: re.Pattern, whole: int = WHOLE_EXCERPT, budget: int = EXCERPT) -> str:
+    """What a long text says about a topic: passages that match, then their neighbours, while the budget lasts, in reading order."""
+    if len(content) <= whole:
+        return content
+    spans = [(a, b) for _, _, _, a, b in split_passages(content)]
+    hits = [k for k, (a, b) in enumerate(spans) if pattern.search(content[a:b])]
+    if not hits:
+        return content[:budget]
+    chosen: set[int] = set()
+    used = 0
+    for k in [*hits, *(n for k in hits for n in (k - 1, k + 1))]:
+        if 0 <= k < len(spans) and k not in chosen:
+            size = spans[k][1] - spans[k][0]
+            if not chosen or used + size <= budget:
+                chosen.add(k)
+                used += size
+    parts, last = [], None
+    for k in sorted(chosen):
+        if last is not None and k == last + 1:
+            parts[-1] += content[spans[last][1] : spans[k][1]]
+        else:
+            parts.append(content[slice(*spans[k])])
+        last = k
+    return GAP.join(parts)
+
+
 def name_key(name: str) -> str:
     """Lower case, marks dropped, anything but letters to one blank."""
     flat = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))

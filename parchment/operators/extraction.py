@@ -97,15 +97,6 @@ def html_article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), plain(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), plain(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)).alias("body"))
 
 
-@REGISTRY("""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{12,}')) as mark, unnest(range(len(regexp_extract_all(lower(text), '[a-z]{12,}')))) as i from documents where text is not null),
-f as (select doc_id, mark, min(i) as i from w group by all) select doc_id, mark, row_number() over (partition by doc_id order by i)::int as number from f""")
-def citations_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks of each document numbered by first use: distinct inside the row, no shuffle."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    marks = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{12,}"), F.lit(0)))
-    return d.select("doc_id", F.posexplode(marks).alias("p", "mark")).select("doc_id", "mark", (F.col("p") + 1).alias("number"))
-
-
 @REGISTRY()
 def diff_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines added and removed between neighbouring turns of a conversation."""

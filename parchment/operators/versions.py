@@ -91,17 +91,6 @@ def editors_ranked_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "role", "words", "share", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("words"), "role")).alias("place"))
 
 
-@REGISTRY("""with s as (select event_id, user_id, value, event_type, lag(value) over w as before, lag(event_type) over w as kind_before from events window w as (partition by user_id order by ts, event_id))
-select event_id, case when before is null then 'new' when event_type = kind_before and value = before then 'unchanged' when event_type = kind_before and abs(value - before) < 1 then 'cosmetic' when value < before * 0.4 then 'hold' else 'publish' end as verdict from s""")
-def change_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to do with each change: new, unchanged, cosmetic, held for review because it removes much, or published."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = table(spark, sf_dir, "events").select("event_id", "value", "event_type", F.lag("value").over(w).alias("before"), F.lag("event_type").over(w).alias("kind_before"))
-    same = F.col("event_type") == F.col("kind_before")
-    verdict = F.when(F.col("before").isNull(), "new").when(same & (F.col("value") == F.col("before")), "unchanged").when(same & (F.abs(F.col("value") - F.col("before")) < 1), "cosmetic").when(F.col("value") < F.col("before") * 0.4, "hold").otherwise("publish")
-    return s.select("event_id", verdict.alias("verdict"))
-
-
 @REGISTRY("""with k as (select o_custkey, max(o_orderdate) as modified from orders where o_orderdate < timestamp '1998-06-01' group by 1),
 t as (select o.o_custkey, o.o_orderpriority from orders o join k on o.o_custkey = k.o_custkey and o.o_orderdate = k.modified)
 select o_custkey, case when count(distinct o_orderpriority) = 1 then min(o_orderpriority) end as version from t group by 1""")

@@ -65,14 +65,18 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
     lefts, rights, rules = [], [], 0
     ends = np.zeros(base, bool)  # symbols whose expansion ends a document
     ends[last] = True
-    live = np.flatnonzero(~ends[seq[:-1]])  # places whose pair may be frequent
-    while len(live):
-        key = _pairs(seq[live], seq[live + 1], base + rules)
+    live = None  # places whose pair may be frequent; at first all
+    while len(seq) > 1 and (live is None or len(live)):
+        key = _pairs(seq[:-1], seq[1:], base) if live is None else _pairs(seq[live], seq[live + 1], base + rules)
         # a pair can only be frequent if its bin is: the others are never sorted
         cell = _cells(key)
         busy = np.bincount(cell, minlength=1 << BIN_BITS) >= LEAST_COUNT
-        some = busy[cell]
-        live, key, cell = live[some], key[some], cell[some]
+        if live is None:
+            live = some = np.flatnonzero(busy[cell] & ~ends[seq[:-1]])
+        else:
+            some = np.flatnonzero(busy[cell])
+            live = live[some]
+        key, cell = key[some], cell[some]
         pairs, counts = np.unique(key, return_counts=True)
         frequent = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(frequent):
@@ -93,10 +97,12 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
         here = score[live + 1]
         first_of_run = np.concatenate(([True], (live[1:] != live[:-1] + 1) | (here[1:] != here[:-1])))
         run_start = np.maximum.accumulate(np.where(first_of_run, live, 0))
-        take = (here >= score[live]) & (here >= score[live + 2]) & ((live - run_start) % 2 == 0)
+        take = (here >= score[live]) & (here >= score[live + 2]) & ((live - run_start) & 1 == 0)
         # a rule that this round would use less often waits, as it would cost more than it saves; the most frequent pair never does
-        take &= np.bincount(at[take], minlength=len(chosen))[at] >= max(1, LEAST_COUNT // 4)
-        used = np.flatnonzero(np.bincount(at[take], minlength=len(chosen)))
+        uses = np.bincount(at[take], minlength=len(chosen))
+        enough = uses >= max(1, LEAST_COUNT // 4)
+        take &= enough[at]
+        used = np.flatnonzero(enough)
         number = np.zeros(len(chosen), np.int64)
         number[used] = np.arange(len(used))
         new = base + rules
@@ -105,15 +111,16 @@ def grammar(ids: np.ndarray, base: int, last: int = END) -> tuple[np.ndarray, np
         rights.append((chosen[used] & chosen.dtype.type((1 << half) - 1)).astype(np.int64))
         ends = np.concatenate((ends, ends[rights[-1]]))
         rules += len(used)
-        taken = live[take]
-        seq[taken] = new + number[at[take]]
+        which = np.flatnonzero(take)
+        taken = live[which]
+        seq[taken] = new + number[at[which]]
         stay = np.ones(len(seq), bool)
         stay[taken + 1] = False
         look = np.zeros(len(seq), bool)  # places to look at in the next round
-        look[taken] = True
-        look[live[~take]] = True
+        look[live] = True
         look[waiting] = True
-        look, seq = look[stay], seq[stay]
+        keep = np.flatnonzero(stay)
+        look, seq = look[keep], seq[keep]
         fresh = np.flatnonzero(seq >= new)
         look[np.maximum(fresh - 1, 0)] = True
         live = np.flatnonzero(look[:-1])
@@ -283,7 +290,7 @@ def read_store(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 n = shard.lengths()
                 at = np.concatenate(([0], np.cumsum(n)))
                 each = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                cols = [shard.doc_ids, start + at[:-1], n, [zlib.crc32(x.tobytes()) for x in each], *([[x.astype(np.int32) for x in each]] if with_ids else [])]
+                cols = [shard.doc_ids, start + at[:-1], n, [zlib.crc32(x) for x in each], *([[x.astype(np.int32) for x in each]] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(cols, schema, strict=True)], schema=schema)
 
     return placed.mapInArrow(run, ddl.replace(", ", ","))

@@ -81,7 +81,10 @@ def sliding_log(rows: DataFrame, key: str, at: str, order: str, limit: int, seco
     return rows.select(order, key, F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("_at")).withColumn("_at", F.col("_at") / 1e6).repartition(key).sortWithinPartitions(key, "_at", order).mapInPandas(fold, schema)
 
 
-@REGISTRY()
+@REGISTRY("""with recursive e as (select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+r as (select user_id, event_id, k, [t] as log, true as allowed from e where k = 1
+ union all select user_id, event_id, k, case when len(l) < 3 then list_append(l, t) else l end, len(l) < 3 from (select e.user_id, e.event_id, e.k, e.t, list_filter(r.log, lambda x: e.t - x <= 86400000000) as l from r join e on e.user_id = r.user_id and e.k = r.k + 1))
+select event_id, user_id, allowed from r""")
 def rate_limit_sliding_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three calls a day and key by the sliding log."""
     return sliding_log(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86400.0)

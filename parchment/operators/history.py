@@ -73,7 +73,8 @@ def timeline_histogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_clusters(rows: DataFrame, lane: str, x: str, width: float) -> DataFrame:
     """(lane, cluster, first_x, last_x, n): a point joins while it is less than ``width`` from the first of its cluster.
 
-    The rule depends on order, so a lane is folded over sorted batches, with one cluster carried; memory is one batch.
+    The rule depends on order, so a lane's distinct points, counted before the shuffle, are folded over sorted batches with
+    one cluster carried: a task's rows are bounded by the points a lane can have, and its memory by one batch.
     """
     schema = f"{lane} string, cluster long, first_x double, last_x double, n long"
 
@@ -83,22 +84,26 @@ def greedy_clusters(rows: DataFrame, lane: str, x: str, width: float) -> DataFra
         open_: dict = {}
         for frame in batches:
             out = []
-            for name, at in zip(frame[lane].to_numpy(), frame[x].to_numpy(), strict=True):
+            for name, at, many in zip(frame[lane].to_numpy(), frame[x].to_numpy(), frame["_many"].to_numpy(), strict=True):
                 if open_ and open_["l"] == name and at - open_["a"] < width:
-                    open_["b"], open_["n"] = at, open_["n"] + 1
+                    open_["b"], open_["n"] = at, open_["n"] + many
                     continue
                 if open_:
                     out.append((open_["l"], open_["k"], open_["a"], open_["b"], open_["n"]))
-                open_ = {"l": name, "k": open_["k"] + 1 if open_ and open_["l"] == name else 0, "a": at, "b": at, "n": 1}
+                open_ = {"l": name, "k": open_["k"] + 1 if open_ and open_["l"] == name else 0, "a": at, "b": at, "n": many}
             if out:
                 yield pd.DataFrame(out, columns=[lane, "cluster", "first_x", "last_x", "n"])
         if open_:
             yield pd.DataFrame([(open_["l"], open_["k"], open_["a"], open_["b"], open_["n"])], columns=[lane, "cluster", "first_x", "last_x", "n"])
 
-    return rows.select(lane, x).repartition(lane).sortWithinPartitions(lane, x).mapInPandas(fold, schema)
+    points = rows.groupBy(lane, x).agg(F.count("*").alias("_many"))
+    return points.repartition(lane).sortWithinPartitions(lane, x).mapInPandas(fold, schema)
 
 
-@REGISTRY()
+@REGISTRY("""with recursive p as (select event_type, epoch(date_trunc('second', ts))::bigint as x from events), r as (select event_type, 0::bigint as cluster, min(x) as first_x from p group by 1
+ union all select r.event_type, r.cluster + 1, min(p.x) from r join p on p.event_type = r.event_type and p.x >= r.first_x + 3600 group by r.event_type, r.cluster),
+b as (select *, coalesce(lead(first_x) over (partition by event_type order by cluster), 9000000000000) as until from r)
+select b.event_type, cluster, first_x::double as first_x, max(x)::double as last_x, count(*)::bigint as n from b join p on p.event_type = b.event_type and p.x >= first_x and p.x < until group by all""")
 def timeline_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each lane in greedy clusters of an hour from their first."""
     e = table(spark, sf_dir, "events").select("event_type", F.unix_timestamp(F.date_trunc("second", "ts")).cast("double").alias("x"))

@@ -48,10 +48,15 @@ def agreed_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY("""with k as (select year(o_orderdate)::int as year, (row_number() over (partition by year(o_orderdate) order by o_orderkey) - 1) // 140 as chunk, o_orderkey from orders where o_orderpriority = '1-URGENT')
 select year, chunk::int as chunk, count(*)::bigint as n, min(o_orderkey) as first_key from k group by all""")
 def work_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work of each year cut into chunks of at most 140."""
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.year("o_orderdate").alias("year"), "o_orderkey")
-    chunk = ((F.row_number().over(Window.partitionBy("year").orderBy("o_orderkey")) - 1) / 140).cast("int")
-    return o.withColumn("chunk", chunk).groupBy("year", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    """Work of each year cut into chunks of at most 140.
+
+    Rows are numbered in stretches of keys, and a stretch begins where those before it end: one task never holds a year.
+    """
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.year("o_orderdate").alias("year"), F.expr("o_orderkey div 4096").alias("stretch"), "o_orderkey")
+    counts = o.groupBy("year", "stretch").agg(F.count("*").alias("rows"))
+    begins = counts.select("year", "stretch", (F.sum("rows").over(Window.partitionBy("year").orderBy("stretch")) - F.col("rows")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("year", "stretch").orderBy("o_orderkey")) - 1
+    return o.join(begins, ["year", "stretch"]).withColumn("chunk", (place / 140).cast("int")).groupBy("year", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
 @REGISTRY("""with w as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations), c as (select conv_id, turn, w, count(*) as n from w group by all)

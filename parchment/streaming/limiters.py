@@ -25,21 +25,27 @@ def fixed_window_counts(events: DataFrame, key: str = "user_id", at: str = "ts",
 def sliding_log_stream(events: DataFrame, limit: int, seconds: float, key: str = "user_id", at: str = "ts", order: str = "event_id") -> DataFrame:
     """(order, key, allowed) by the sliding log; state is the accepted times of a key, ``limit`` at most.
 
-    Events of one key must arrive in order of time between triggers; inside a trigger they are sorted.
+    Events of one key must arrive in order of time between triggers; inside a trigger they are sorted.  A key that is quiet
+    for as long as a call counts has no call left that counts, and its state is dropped.
     """
+    from collections import deque
 
     def fold(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        parts = list(frames)
-        frame = pd.concat(parts).sort_values(["_at", order])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        log = deque(state.get[0] if state.exists else ())
+        frame = pd.concat(list(frames)).sort_values(["_at", order])
         allowed = []
         for t in frame["_at"].to_numpy():
-            log = [x for x in log if t - x <= seconds]
+            while log and t - log[0] > seconds:
+                log.popleft()
             allowed.append(len(log) < limit)
             if allowed[-1]:
                 log.append(float(t))
-        state.update((log,))
+        state.update((list(log),))
+        state.setTimeoutDuration(int(seconds * 1000) + 1)
         yield pd.DataFrame({order: frame[order], key: frame[key], "allowed": allowed})
 
     rows = events.select(order, key, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_at"))
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{order} long, {key} long, allowed boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{order} long, {key} long, allowed boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)

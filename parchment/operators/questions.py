@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.periods import Period, parse_period, without_period
+from parchment.functions.stems import stem
 from parchment.operators import retrieval
 from parchment.plans.registry import Registry
 from parchment.sources.tables import table
@@ -152,6 +153,34 @@ def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "ordinal", ((F.col("tf") / (F.col("tf") + 10) + F.col("matched")) / (len(retrieval.TERMS) + 1)).alias("score")).orderBy(F.desc("score"), "doc_id", "ordinal").limit(100)
 
 
+def stemmed_forms(words: DataFrame, stems: tuple[str, ...], word: str = "term") -> DataFrame:
+    """(term, stem) of the words whose stem is among ``stems``; each distinct word is stemmed once, in Arrow batches."""
+
+    def run(batches):
+        for frame in batches:
+            got = frame[word].map(stem)
+            yield frame.assign(stem=got)[got.isin(stems)]
+
+    return words.select(word).distinct().mapInPandas(run, f"{word} string, stem string")
+
+
+def ranked_by_stem(postings: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """(doc_id, ordinal, score) of passages by the stems of ``terms``: a stem counts once however many of its forms stand there."""
+    stems = tuple(dict.fromkeys(map(stem, terms)))
+    g = postings.join(stemmed_forms(postings, stems), "term").groupBy("doc_id", "ordinal", "stem").agg(F.sum("tf").alias("tf")).groupBy("doc_id", "ordinal").agg(F.sum("tf").cast("double").alias("tf"), F.count("*").alias("matched"))
+    return g.select("doc_id", "ordinal", ((F.col("tf") / (F.col("tf") + 10) + F.col("matched")) / (len(stems) + 1)).alias("score"))
+
+
+STEMMED = ("nations", "relating", "themed", "inventions", "handing", "thing")
+
+
+@REGISTRY()
+def search_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hundred passages for words in any of their English forms."""
+    postings = inverted_index(retrieval.passages(table(spark, sf_dir, "documents")))
+    return ranked_by_stem(postings, STEMMED).orderBy(F.desc("score"), "doc_id", "ordinal").limit(100)
+
+
 # --- weighted retrieval --------------------------------------------------------------------------------------------
 
 #: Weights of kinds for a question about the rules in force, for one about members, and the penalty of an older edition.

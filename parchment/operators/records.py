@@ -239,9 +239,11 @@ def narrowed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORMS = (("f1", "Thtieding", None), ("f2", "Onhe", None), ("f3", "The", "en"), ("f4", "La", "fr"), ("f5", "haedea", None))
 
 
-@REGISTRY("with f(form, word, lang) as (values " + ", ".join(f"('{a}', '{b}', {'null' if c is None else repr(c)})" for a, b, c in FORMS) + """), l as (select doc_id, lang, string_split(text, chr(10)) as s from documents where text is not null and coalesce(source, '') <> 'news'),
-p as (select doc_id, lang, unnest(range(len(s)))::int as line, unnest(s) as content from l)
-select doc_id, form, min(line)::int as line from p, f where (f.lang is null or f.lang = p.lang) and regexp_matches(content, '(^|[^\\p{L}])' || word || '($|[^\\p{L}])') group by all""")
+_MENTIONED = " union all ".join(f"select doc_id, '{f}' as form, line from p where regexp_matches(content, '(^|[^\\p{{L}}]){w}($|[^\\p{{L}}])')" + (f" and lang = '{lang}'" if lang else "") for f, w, lang in FORMS)
+
+
+@REGISTRY(f"""with l as (select doc_id, lang, string_split(text, chr(10)) as s from documents where text is not null and coalesce(source, '') <> 'news'),
+p as (select doc_id, lang, unnest(range(len(s)))::int as line, unnest(s) as content from l) select doc_id, form, min(line)::int as line from ({_MENTIONED}) group by all""")
 def reviewed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each document that writes a reviewed form, between letters of no word, where the form may be used.
 

@@ -129,10 +129,9 @@ def question_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(passages: DataFrame, keys: tuple[str, ...] = ("doc_id", "ordinal"), content: str = "content") -> DataFrame:
-    """(term, keys, tf): terms of each passage with how often it has them; counted where the passage is, without a shuffle."""
-    words = retrieval.tokens(F.col(content))
-    counted = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).cast("long").alias("tf")))
-    return passages.select(*keys, F.explode(counted).alias("c")).select("c.term", *keys, "c.tf")
+    """(term, keys, tf): terms of each passage with how often it has them; counted before the shuffle, and a filter on terms
+    goes below the count."""
+    return passages.select(*keys, F.explode(retrieval.tokens(F.col(content))).alias("term")).groupBy("term", *keys).agg(F.count("*").alias("tf"))
 
 
 @REGISTRY(f"""with {retrieval._LINES}, t as (select doc_id, ordinal, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as term from lines where doc_id % 1 = 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_store, toxicity
+from . import decontamination, fill_in_middle, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 
@@ -127,4 +132,13 @@ each_doc as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from texts left join each_doc using (doc_id)""",
+    "op13_fill_in_middle": """
+with drawn as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+numbers as (select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as x, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as y, ('0x' || substr(h, 17, 8))::bigint as z, ('0x' || substr(h, 25, 8))::bigint as w from drawn),
+formed as (select *, least(x, y) as a, greatest(x, y) as b,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or z % 100 >= 90 then 'plain' when w % 100 < 20 then 'spm' else 'psm' end as form from numbers),
+cut as (select *, left(t, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from formed)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from cut""",
 }

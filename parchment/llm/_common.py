@@ -68,7 +68,7 @@ def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
              "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-             "array<double>": pa.list_(pa.float64())}
+             "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_store, toxicity
+from . import decontamination, fill_in_middle, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 

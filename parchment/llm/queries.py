@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, token_store, toxicity
+from . import decontamination, fill_in_middle, html_wrappers, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_html_wrappers": op11_html_wrappers,
     "op12_token_alignment": op12_token_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -137,6 +142,14 @@ each_doc as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from texts left join each_doc using (doc_id)""",
+    # the layout of the given pages, stated outright: their articles are blocks of p and h1
+    "op11_html_wrappers": r"""
+with cut as (select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>') as parts from pages),
+bare as (select page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) as parts from cut),
+decoded as (select page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) as parts from bare),
+spaced as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(x, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2028}\x{2029}]+', ' ', 'g'))) as blocks from decoded),
+joined as (select page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) as text from spaced)
+select page_id, url, text, length(text)::bigint as n_chars from joined""",
     "op13_fill_in_middle": """
 with drawn as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
 numbers as (select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as x, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as y, ('0x' || substr(h, 17, 8))::bigint as z, ('0x' || substr(h, 25, 8))::bigint as w from drawn),

@@ -146,7 +146,7 @@ from texts left join each_doc using (doc_id)""",
     "op11_html_wrappers": r"""
 with cut as (select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>') as parts from pages),
 bare as (select page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) as parts from cut),
-decoded as (select page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) as parts from bare),
+decoded as (select page_id, url, list_transform(parts, lambda x: regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;', chr(39)), '&amp;?', '&', 'g')) as parts from bare),
 spaced as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(x, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2028}\x{2029}]+', ' ', 'g'))) as blocks from decoded),
 joined as (select page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) as text from spaced)
 select page_id, url, text, length(text)::bigint as n_chars from joined""",

@@ -3,7 +3,7 @@
 Tokenizer A is a byte-level BPE read by ``tokenizers``, B a SentencePiece model.  Each text is tokenised whole by both.  A
 *whitespace anchor* is a byte at which a space-marked token of A and one of B both start, so that both end just before it;
 anchors part a document into windows of ids, most of them one word.  A window's alignment (its groups and its links) is
-memoised by its id tuples: a merge of both sides' ends, worked out once while it stays in the memo.
+memoised by its id tuples for a part of the text: the union of both sides' ends, worked out for all new windows of a chunk.
 
 Counts are made in three steps.  A task numbers the id pairs of some ``PART_BYTES`` of text and writes, per document, how
 often it holds each, and per part the pairs with their sums.  Sums are added up over all parts; each part gets the totals
@@ -30,7 +30,7 @@ from . import _common as C
 
 #: Text whose pairs share one numbering; bounds a part's dictionary.
 PART_BYTES = 16 << 20
-#: Words of A and windows that are kept; beyond it a memo starts anew, so a worker's memory is bounded.
+#: Words of A that are kept; beyond it the memo starts anew, so a worker's memory is bounded.
 MEMO = 300_000
 #: Longer pieces are encoded each time.
 MEMO_CHARS = 100
@@ -76,7 +76,8 @@ class Tokenizers:
         self.length_a, self.space_a = self._shape(self.bytes_a)
         self.length_b, self.space_b = self._shape(self.bytes_b)
         self.words: dict[str, bytes] = {}
-        self.memo: dict[bytes, tuple[str, int, list[int]]] = {}
+        # an id's decimal digits with what follows it: within a side, at a side's end, at a group's end, at a window's end
+        self.text_a, self.text_b = (np.array([f"{i}{after}" for after in afters for i in range(n)], object) for n, afters in ((len(self.bytes_a), ",|"), (len(self.bytes_b), [",", ";", ""])))
 
     @staticmethod
     def _shape(table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,41 +126,6 @@ class Tokenizers:
         have = self.words if all(len(w) <= MEMO_CHARS for w in new) else self.words | learned
         return [b"".join([have[w] for w in s]) for s in split]
 
-    def aligned(self, key: bytes) -> tuple[str, int, list[int]]:
-        """(groups as text, number of groups, links as a << 32 | b) of a window."""
-        ids = np.frombuffer(key, "<u4")
-        n = int(np.count_nonzero(ids & _A_FLAG))
-        a, b = (ids[:n] & ~_A_FLAG).tolist(), ids[n:].tolist()
-        la, lb = self.length_a[a].tolist(), self.length_b[b].tolist()
-        i = j = first_a = first_b = 0
-        end_a, end_b, groups, links = la[0], lb[0], [], []
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += la[i]
-            elif end_b < end_a:
-                j += 1
-                end_b += lb[j]
-            else:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-                if i == len(a):
-                    return ";".join(groups), len(groups), links
-                end_a += la[i]
-                end_b += lb[j]
-
-    def window(self, key: bytes) -> tuple[str, int, list[int]]:
-        got = self.memo.get(key)
-        if got is None:
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            got = self.aligned(key)
-            if len(key) <= 4 * MEMO_CHARS:
-                self.memo[key] = got
-        return got
-
 
 @lru_cache(maxsize=1)
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -170,30 +136,62 @@ def joined(table: list[bytes], ids: list[int]) -> bytes:
     return b"".join(itemgetter(*ids)(table)) if len(ids) > 1 else table[ids[0]] if ids else b""
 
 
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of many ranges."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def last_of(groups: np.ndarray) -> np.ndarray:
+    return np.append(groups[1:] != groups[:-1], True) if len(groups) else np.zeros(0, bool)
+
+
 class Part:
-    """Numbers of the windows and of the id pairs of a part."""
+    """The windows of a part that are known so far, with their alignments, and the numbers of its id pairs."""
 
     def __init__(self, tokens: Tokenizers):
         self.tokens, self.bytes = tokens, 0
         self.windows: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.groups: list[int] = []
         self.pairs: dict[int, int] = {}
-        self.links: list[int] = []
-        self.ends = [0]
+        self.groups = np.zeros(0, np.int64)  # of each window
+        self.links, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)  # pair numbers, window by window
         self.sums = np.zeros(0, np.int64)
 
-    def number(self, keys: list[bytes]) -> np.ndarray:
-        for key in dict.fromkeys(keys):
-            if key not in self.windows:
-                text, groups, links = self.tokens.window(key)
-                self.windows[key] = len(self.text)
-                self.text.append(text)
-                self.groups.append(groups)
-                pairs = self.pairs
-                self.links += [pairs.setdefault(p, len(pairs)) for p in links]
-                self.ends.append(len(self.links))
-        return np.fromiter(map(self.windows.__getitem__, keys), np.int64, len(keys))
+    def number(self, keys: list[bytes], a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+        """The windows' numbers; those not met before are aligned together."""
+        first = dict(zip(reversed(keys), range(len(keys) - 1, -1, -1), strict=True))
+        known = self.windows
+        new = [k for k in first if k not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            w = np.array([first[k] for k in new], np.int64)
+            end_a, end_b = np.append(at_a[1:], len(a)), np.append(at_b[1:], len(b))
+            self._align(a, b, at_a[w], end_a[w] - at_a[w], at_b[w], end_b[w] - at_b[w])
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+    def _align(self, a, b, start_a, n_a, start_b, n_b) -> None:
+        """Groups and links of windows laid end to end: a group ends where both sides do, a link where either does."""
+        t = self.tokens
+        x, y = a[ranges(start_a, n_a)], b[ranges(start_b, n_b)]
+        end_x, end_y = np.cumsum(t.length_a[x]), np.cumsum(t.length_b[y])
+        window_end = end_x[np.cumsum(n_a) - 1]
+        either, shared = np.union1d(end_x, end_y), np.intersect1d(end_x, end_y, assume_unique=True)
+        link = x[np.searchsorted(end_x, either)].astype(np.int64) << 32 | y[np.searchsorted(end_y, either)].astype(np.int64)
+        kinds, place = np.unique(link, return_inverse=True)
+        pairs = self.pairs
+        numbers = np.array([pairs.setdefault(p, len(pairs)) for p in kinds.tolist()], np.int64)
+        self.links = np.concatenate((self.links, numbers[place]))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.bincount(np.searchsorted(window_end, either), minlength=len(n_a)))))
+        self.groups = np.concatenate((self.groups, np.bincount(np.searchsorted(window_end, shared), minlength=len(n_a))))
+        # the text: sides of a group in turn, each id with what follows it
+        of_x, of_y = np.searchsorted(shared, end_x), np.searchsorted(shared, end_y)
+        spelled = np.empty(len(x) + len(y), object)
+        spelled[np.arange(len(x)) + np.searchsorted(of_y, of_x)] = t.text_a[x + last_of(of_x) * len(t.bytes_a)]
+        closes = np.zeros(len(y), np.int64)
+        closes[np.cumsum(n_b) - 1] = 1
+        spelled[np.arange(len(y)) + np.searchsorted(of_x, of_y, "right")] = t.text_b[y + (last_of(of_y) + closes) * len(t.bytes_b)]
+        ids, cuts = spelled.tolist(), [0, *np.cumsum(n_a + n_b).tolist()]
+        self.text += ["".join(ids[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def documents(self, texts: list[str]) -> dict:
         """Counts, groups and (pair number, times) of each of some texts."""
@@ -220,12 +218,10 @@ class Part:
         bytes_a, bytes_b = (a | _A_FLAG).tobytes(), b.tobytes()
         edge_a, edge_b = [*(4 * at_a).tolist(), len(bytes_a)], [*(4 * at_b).tolist(), len(bytes_b)]
         keys = [bytes_a[i:k] + bytes_b[j:m] for i, k, j, m in zip(edge_a[:-1], edge_a[1:], edge_b[:-1], edge_b[1:], strict=True)]
-        w = self.number(keys)
+        w = self.number(keys, a, b, at_a, at_b)
         doc = np.searchsorted(np.cumsum(n_a), at_a, "right")
-        ends, links = np.array(self.ends, np.int64), np.array(self.links, np.int64)
-        many = (ends[1:] - ends[:-1])[w]
-        place = np.repeat(ends[w] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        pair, width = links[place], max(1, len(self.pairs))
+        many = (self.ends[1:] - self.ends[:-1])[w]
+        pair, width = self.links[ranges(self.ends[w], many)], max(1, len(self.pairs))
         sums = np.bincount(pair, minlength=width)
         sums[: len(self.sums)] += self.sums
         self.sums = sums
@@ -233,7 +229,7 @@ class Part:
         first = np.searchsorted(doc, np.arange(n + 1)).tolist()
         order = w.tolist()
         return {
-            "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc, np.array(self.groups, np.int64)[w], n).astype(np.int64), "n_links": np.bincount(doc, many, n).astype(np.int64),
+            "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc, self.groups[w], n).astype(np.int64), "n_links": np.bincount(doc, many, n).astype(np.int64),
             "groups": [";".join([self.text[k] for k in order[i:j]]) for i, j in zip(first[:-1], first[1:], strict=True)],
             "held": np.bincount(key // width, minlength=n), "pair_no": key % width, "times": times,
         }

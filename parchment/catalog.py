@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parchment.operators import comparison, derivation, details, directory, extraction, forum, history, listing, orders, people, questions, records, retrieval, upkeep, versions
+from parchment.operators import comparison, derivation, details, directory, extraction, forum, history, listing, names, orders, people, questions, records, retrieval, upkeep, versions
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, listing, versions, people, history, forum, extraction, upkeep, derivation, orders, questions, records, comparison, details, directory):
+for _module in (retrieval, listing, versions, people, history, forum, extraction, upkeep, derivation, orders, questions, records, comparison, details, directory, names):
     QUERIES |= _module.REGISTRY.queries
     ORACLES |= _module.REGISTRY.oracles

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
 
 TARGET, LONGEST, SHORTEST = 1400, 2600, 240
 #: Characters that match as others, one for one.
@@ -125,8 +128,22 @@ def renumber_citations(content: str, quotes: list[tuple[str, str]], texts: dict[
     return re.sub(r" +([.,;])", r"\1", re.sub(r"[ \t]{2,}", " ", out)).strip(), kept, len(rejected)
 
 
+def _common_lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """``t[i, j]``: lines of a longest common subsequence of x[i:] and y[j:]; a row is a running maximum of the row below."""
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(line, len(number)) for line in side], np.int64) for side in (x, y))
+    t = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        best = np.where(b == a[i], t[i + 1, 1:] + 1, t[i + 1, :-1])
+        t[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    return t
+
+
 def line_diff(before: str, after: str, cells: int = 4_000_000) -> dict:
-    """ops of (type, lines), lines added and removed; beyond ``cells`` of the middle the whole middle is replaced."""
+    """ops of (type, lines), lines added and removed: the fewest lines go and come, and where it is equal one goes first.
+
+    Beyond ``cells`` of the table of the middle (what shared head and tail leave) the whole middle is replaced.
+    """
     a, b = before.split("\n"), after.split("\n")
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -135,21 +152,25 @@ def line_diff(before: str, after: str, cells: int = 4_000_000) -> dict:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    coarse = len(x) * len(y) > cells
-    steps = [("replace", 0, len(x), 0, len(y))] if coarse else difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
-    ops, added, removed = [("same", a[:head])] if head else [], 0, 0
-    for tag, i, j, k, m in steps:
-        if tag == "equal":
-            ops.append(("same", x[i:j]))
-            continue
-        if j > i:
-            ops.append(("remove", x[i:j]))
-        if m > k:
-            ops.append(("add", y[k:m]))
-        removed, added = removed + j - i, added + m - k
-    if tail:
-        ops.append(("same", a[len(a) - tail :]))
-    return {"ops": ops, "added": added, "removed": removed, "coarse": coarse}
+    coarse = (len(x) + 1) * (len(y) + 1) > cells
+    steps = [("same", line) for line in a[:head]]
+    if coarse or not x or not y:
+        steps += [("remove", line) for line in x] + [("add", line) for line in y]
+    else:
+        t, i, j = _common_lengths(x, y), 0, 0
+        while i < len(x) or j < len(y):
+            if i < len(x) and j < len(y) and x[i] == y[j]:
+                steps.append(("same", x[i]))
+                i, j = i + 1, j + 1
+            elif j == len(y) or (i < len(x) and t[i + 1, j] >= t[i, j + 1]):
+                steps.append(("remove", x[i]))
+                i += 1
+            else:
+                steps.append(("add", y[j]))
+                j += 1
+    steps += [("same", line) for line in a[len(a) - tail :]] if tail else []
+    ops = [(op, [line for _, line in run]) for op, run in groupby(steps, key=itemgetter(0))]
+    return {"ops": ops, "added": sum(op == "add" for op, _ in steps), "removed": sum(op == "remove" for op, _ in steps), "coarse": coarse}
 
 
 def collapsed(ops: list[tuple[str, list[str]]], context: int = 3) -> list[tuple[str, int, list[str]]]:

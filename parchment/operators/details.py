@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchment.operators import upkeep
 from parchment.plans.registry import Registry
 from parchment.sources.tables import table
 
@@ -142,19 +143,16 @@ def coverage_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("event_type", "held", F.date_format("a", "yyyy-MM-dd").alias("first"), F.date_format("b", "yyyy-MM-dd").alias("last"))
 
 
-@REGISTRY("""with w as (select conv_id, turn, role, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) as w from conversations), c as (select conv_id, turn, w, count(*) as n from w group by all),
-a as (select a.conv_id, a.turn, sum(greatest(a.n - coalesce(b.n, 0), 0)) as added from c a left join c b on a.conv_id = b.conv_id and a.turn = b.turn + 1 and a.w = b.w group by all),
-k as (select a.conv_id, role, sum(added) as words from a join conversations c on c.conv_id = a.conv_id and c.turn = a.turn where added >= 30 group by all), t as (select conv_id, sum(words) as total from k where role <> 'system' group by 1)
-select k.conv_id, role, words::bigint as words, row_number() over (partition by k.conv_id order by words desc, role)::int as place from k join t using (conv_id) where role <> 'system' and words >= 30 and words * 100 >= 5 * total""")
+@REGISTRY(f"""with {upkeep.CHANGED_SQL}, n as (select a.*, role from a join conversations using (conv_id, turn) where role <> 'system'), t as (select conv_id, sum(added) as total from n group by 1),
+k as (select conv_id, role, sum(added) as words from n where added >= 30 group by all)
+select k.conv_id, role, words::bigint as words, row_number() over (partition by k.conv_id order by words desc, role)::int as place from k join t using (conv_id) where words * 20 >= total""")
 def ranked_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who wrote each text, by the words their versions add to the one before: thirty at least a change, a twentieth of the whole;
-    anonymous ones ("system") neither count nor rank."""
+    """Who wrote each text, by the words their versions add to the one before: changes of thirty words at least, a twentieth of
+    all that named writers added; anonymous ones ("system") neither count nor rank, and the first version is nobody's."""
     c = table(spark, sf_dir, "conversations")
-    w = c.select("conv_id", "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("conv_id", "turn", "w").agg(F.count("*").alias("n"))
-    before = w.select("conv_id", (F.col("turn") + 1).alias("turn"), "w", F.col("n").alias("b"))
-    added = w.join(before, ["conv_id", "turn", "w"], "left").groupBy("conv_id", "turn").agg(F.sum(F.greatest(F.col("n") - F.coalesce("b", F.lit(0)), F.lit(0))).alias("added")).where("added >= 30")
-    k = added.join(c.select("conv_id", "turn", "role"), ["conv_id", "turn"]).where("role <> 'system'").groupBy("conv_id", "role").agg(F.sum("added").alias("words"))
-    k = k.withColumn("total", F.sum("words").over(Window.partitionBy("conv_id"))).where("words >= 30 and words * 100 >= 5 * total")
+    added = upkeep.changed_words(c, "conv_id", "turn", "text").join(c.select("conv_id", "turn", "role"), ["conv_id", "turn"]).where("role <> 'system'")
+    k = added.groupBy("conv_id", "role").agg(F.sum(F.when(F.col("added") >= 30, F.col("added"))).alias("words"), F.sum("added").alias("all"))
+    k = k.withColumn("total", F.sum("all").over(Window.partitionBy("conv_id"))).where("words * 20 >= total")
     return k.select("conv_id", "role", "words", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("words"), "role")).alias("place"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.operators import orders
+from parchment.functions.unicode import nfkc
 from parchment.plans.registry import Registry
 from parchment.sources.tables import table
 
@@ -276,9 +277,10 @@ def vote_status(said: Column) -> Column:
     return F.when(said.rlike("(?i)^(?:passed|adopted)$"), "passed").when(said.rlike("(?i)^(?:failed|rejected|lost|tabled(?: indefinitely)?)$"), "not_passed").otherwise("unknown")
 
 
+# The prefix and the endings that a register's titles carry, and the words of its status cells.
 def voting_title_key(title: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.trim(title), r"(?i)^S[-.\s]*B\.[\d.-]+\s*\|\s*", ""), r"(?i)\.(?:docx?|pdf)$", "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(nfkc(bare)), r"[^\p{L}\p{N}]+", " "))
 
 
 def vote_day(voted: Column) -> Column:
@@ -293,31 +295,63 @@ def voting_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("key", "status", "reading").agg(F.count("*").alias("n"), F.max("day").cast("string").alias("last"))
 
 
-def decide(matches: DataFrame, key: str) -> DataFrame:
-    """(key, status, day): at the last reading, the last day; contradictions there, or undated ones, are ambiguous."""
-    known = matches.where("status <> 'unknown'")
-    top = known.groupBy(key).agg(F.max("reading").alias("reading"))
-    at = known.join(top, [key, "reading"]).withColumn("day", F.coalesce("day", F.lit("0001-01-01").cast("date")))
-    days = at.groupBy(key, "day").agg(F.min("status").alias("lo"), F.max("status").alias("hi"))
-    g = days.groupBy(key).agg(F.max(F.struct("day", "lo", "hi")).alias("x"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("day").alias("first"))
-    undated = (F.col("lo") != F.col("hi")) & (F.col("first") == F.lit("0001-01-01").cast("date"))
-    torn = undated | (F.col("x.lo") != F.col("x.hi"))
-    return g.select(key, F.when(torn, "ambiguous").otherwise(F.col("x.lo")).alias("status"), F.when(~torn & (F.col("x.day") > F.lit("0001-01-01").cast("date")), F.col("x.day")).alias("day"))
+_NEVER = "0001-01-01"
 
 
-@REGISTRY(f"""with {_REGISTER}, r as (select file, {_TITLE_KEY} as key, {_STATUS} as status, try_strptime(voted, '%m/%d/%Y')::date as day, reading from reg), b as (select o_orderkey as id, case when o_orderkey % 3 = 0 then o_orderkey else -1 end as file, 'act ' || (o_custkey % 200) as key from orders),
-m as (select b.id, status, day, reading, 0 as tier from b join r using (file) union all select b.id, status, day, reading, 1 from b join r using (key)), t as (select id, min(tier) as tier from m group by 1),
+def decided(register: DataFrame, key: str) -> DataFrame:
+    """(key, x): what the register says of a key, as a struct that ``later`` combines: the last reading that decides, the least
+    and greatest status at it and at its last day, and whether one is undated; null fields if no row decides.
+
+    One aggregate of maxima a key; rows that say the same meet before the shuffle.
+    """
+    known = F.col("status") != "unknown"
+    day = F.coalesce("day", F.lit(_NEVER).cast("date"))
+    at = register.groupBy(key, "reading", day.alias("day")).agg(F.min(F.when(known, F.col("status"))).alias("lo"), F.max(F.when(known, F.col("status"))).alias("hi"))
+    at = at.groupBy(key, "reading").agg(F.max(F.when(F.col("lo").isNotNull(), F.struct("day", "lo", "hi"))).alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.when(F.col("lo").isNotNull(), F.col("day"))).alias("first"))
+    return at.groupBy(key).agg(F.max_by(F.struct("reading", "lo", "hi", (F.col("first") == F.lit(_NEVER).cast("date")).alias("undated"), "last"), F.when(F.col("lo").isNotNull(), F.col("reading"))).alias("x"))
+
+
+def later(a: Column, b: Column) -> Column:
+    """What two keys say together."""
+    last = F.when(a["last"]["day"] > b["last"]["day"], a["last"]).when(a["last"]["day"] < b["last"]["day"], b["last"]).otherwise(F.struct(a["last"]["day"].alias("day"), F.least(a["last"]["lo"], b["last"]["lo"]).alias("lo"), F.greatest(a["last"]["hi"], b["last"]["hi"]).alias("hi")))
+    both = F.struct(a["reading"].alias("reading"), F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"), (a["undated"] | b["undated"]).alias("undated"), last.alias("last"))
+    return F.when(a["reading"].isNull() | (a["reading"] < b["reading"]), b).when(b["reading"].isNull() | (a["reading"] > b["reading"]), a).otherwise(both)
+
+
+def verdict(x: Column) -> tuple[Column, Column]:
+    """(status, day): unknown if nothing decides, ambiguous if the last day contradicts itself or an undated row another."""
+    torn = ((x["lo"] != x["hi"]) & x["undated"]) | (x["last"]["lo"] != x["last"]["hi"])
+    status = F.when(x["reading"].isNull(), "unknown").when(torn, "ambiguous").otherwise(x["last"]["lo"])
+    return status, F.when(~torn & (x["last"]["day"] > F.lit(_NEVER).cast("date")), x["last"]["day"])
+
+
+_BILLS = """select o_orderkey as id, case when o_orderkey % 3 = 0 then o_orderkey else -1 end as file, 'act ' || (o_custkey % 200) as title,
+  'S.B. 112-' || (o_orderkey % 50) || ' | ACT ' || ((o_custkey + (case when o_orderpriority = '1-URGENT' then 1 else 0 end)) % 200) || '.pdf' as display from orders"""
+
+
+@REGISTRY(f"""with {_REGISTER}, r as (select file, {_TITLE_KEY} as key, {_STATUS} as status, try_strptime(voted, '%m/%d/%Y')::date as day, reading from reg), raw as ({_BILLS}),
+b as (select id, file, {_TITLE_KEY} as key from raw union select id, file, {_TITLE_KEY} from (select id, file, display as title from raw)),
+m as (select b.id, status, day, reading, 0 as tier from (select distinct id, file from b) b join r using (file) union all select b.id, status, day, reading, 1 from b join r using (key)), t as (select id, min(tier) as tier from m group by 1),
 k as (select m.* from m join t using (id, tier) where status <> 'unknown'), k2 as (select k.* from k join (select id, max(reading) as reading from k group by 1) using (id, reading)),
-l as (select id, max(coalesce(day, date '0001-01-01')) as last, count(distinct status) > 1 and count(*) > count(day) as undated from k2 group by 1)
-select id, case when bool_or(undated) or count(distinct status) > 1 then 'ambiguous' else min(status) end as status, case when not (bool_or(undated) or count(distinct status) > 1) then max(day)::varchar end as day from k2 join l using (id) where coalesce(day, date '0001-01-01') = last group by id""")
+l as (select id, max(coalesce(day, date '0001-01-01')) as last, count(distinct status) > 1 and count(*) > count(day) as undated from k2 group by 1),
+d as (select id, case when bool_or(undated) or count(distinct status) > 1 then 'ambiguous' else min(status) end as status, case when not (bool_or(undated) or count(distinct status) > 1) then max(day)::varchar end as day from k2 join l using (id) where coalesce(day, date '0001-01-01') = last group by id)
+select raw.id, coalesce(status, 'unknown') as status, day from raw left join d using (id)""")
 def bill_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bills met with the register by file, and only where no row has the file, by title."""
+    """Bills met with the register by file, and only where no row has the file, by either title.
+
+    The register is decided once a file and once a title key, so a bill looks up one row a join, however many rows or bills
+    share a key.
+    """
     r = register(spark, sf_dir).select("file", voting_title_key(F.col("title")).alias("key"), vote_status(F.col("said")).alias("status"), vote_day(F.col("voted")).alias("day"), "reading")
-    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).otherwise(-1).alias("file"), F.concat(F.lit("act "), (F.col("o_custkey") % 200).cast("string")).alias("key"))
-    per = lambda c: r.groupBy(c, "status", "reading", "day").agg(F.lit(1).alias("one")).drop("one")  # noqa: E731 - alike rows decide alike
-    by_file = b.join(per("file"), "file").select("id", "status", "reading", "day")
-    by_title = b.join(per("key"), "key").select("id", "status", "reading", "day").join(by_file.select("id").distinct(), "id", "left_anti")
-    return decide(by_file.unionByName(by_title), "id").select("id", "status", F.col("day").cast("string").alias("day"))
+    custkey, urgent = F.col("o_custkey"), F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)
+    title = F.concat(F.lit("act "), (custkey % 200).cast("string"))
+    display = F.concat(F.lit("S.B. 112-"), (F.col("o_orderkey") % 50).cast("string"), F.lit(" | ACT "), ((custkey + urgent) % 200).cast("string"), F.lit(".pdf"))
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).otherwise(-1).alias("file"), voting_title_key(title).alias("key"), voting_title_key(display).alias("shown"))
+    by_key = decided(r, "key")
+    met = b.join(decided(r, "file").select("file", F.col("x").alias("f"), F.lit(True).alias("_linked")), "file", "left").join(by_key.withColumnRenamed("x", "k"), "key", "left").join(by_key.select(F.col("key").alias("shown"), F.col("x").alias("s")), "shown", "left")
+    x = F.when(F.col("_linked"), F.col("f")).when(F.col("key") == F.col("shown"), F.col("k")).otherwise(later(F.col("k"), F.col("s")))
+    status, day = verdict(F.col("x"))
+    return met.withColumn("x", x).select("id", status.alias("status"), day.cast("string").alias("day"))
 
 
 @REGISTRY("""with p as (select l_partkey as bill, max(l_shipdate) as passed from lineitem where l_returnflag = 'A' group by 1) select bill, strftime(passed, '%Y-%m-%d') as passed_on from p""")

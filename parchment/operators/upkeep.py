@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchment.operators import retrieval
+from parchment.functions.unicode import nfkc
+from parchment.operators import extraction, retrieval
 from parchment.plans.registry import Registry
 from parchment.sources.tables import table
 
@@ -59,14 +60,34 @@ def work_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(begins, ["year", "stretch"]).withColumn("chunk", (place / 140).cast("int")).groupBy("year", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@REGISTRY("""with w as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations), c as (select conv_id, turn, w, count(*) as n from w group by all)
-select a.conv_id, a.turn, sum(greatest(a.n - coalesce(b.n, 0), 0))::bigint as added from c a left join c b on a.conv_id = b.conv_id and a.turn = b.turn + 1 and a.w = b.w group by all""")
+#: A word of a text that is compared: letters and digits of any script, with apostrophes inside.
+WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
+
+
+def changed_words(snapshots: DataFrame, of: str, order: str, text: str) -> DataFrame:
+    """(of, order, added): words that each text has beyond the one before it, as a multiset without case and markup.
+
+    The first text of a key is a baseline, and a missing text breaks the chain: neither it nor the next one has a row.
+    The words of both texts meet as ones and minus ones of a single sum, which combines before the shuffle.
+    """
+    before = F.lag("_plain").over(Window.partitionBy(of).orderBy(order))
+    plain = F.lower(nfkc(extraction.plain(F.col(text))))
+    both = snapshots.select(of, order, plain.alias("_plain")).withColumn("_before", before).where("_plain is not null and _before is not null")
+    words = lambda c, sign: F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(sign).alias("n")))
+    rows = both.select(of, order, F.explode(F.concat(F.array(F.struct(F.lit("").alias("w"), F.lit(0).alias("n"))), words(F.col("_plain"), 1), words(F.col("_before"), -1))).alias("x"))
+    return rows.groupBy(of, order, "x.w").agg(F.sum("x.n").alias("n")).groupBy(of, order).agg(F.sum(F.greatest("n", F.lit(0))).alias("added"))
+
+
+CHANGED_SQL = f"""p as (select conv_id, turn, role, lower({extraction._strip_sql("text")}) as t from conversations), b as (select *, lag(t) over (partition by conv_id order by turn) as b from p),
+w as (select conv_id, turn, '' as w, 0 as n from b where t is not null and b is not null union all select conv_id, turn, unnest(regexp_extract_all(t, '{WORD.replace(chr(39), chr(39) * 2)}')), 1 from b where b is not null
+  union all select conv_id, turn, unnest(regexp_extract_all(b, '{WORD.replace(chr(39), chr(39) * 2)}')), -1 from b where t is not null),
+a as (select conv_id, turn, sum(greatest(n, 0))::bigint as added from (select conv_id, turn, w, sum(n) as n from w group by all) group by all)"""
+
+
+@REGISTRY(f"with {CHANGED_SQL} select conv_id, turn, added from a")
 def added_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that each text has beyond the one before it, counted as a multiset."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("conv_id", "turn", "w").agg(F.count("*").alias("n"))
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), "w", F.col("n").alias("b"))
-    joined = c.join(before, ["conv_id", "turn", "w"], "left")
-    return joined.groupBy("conv_id", "turn").agg(F.sum(F.greatest(F.col("n") - F.coalesce("b", F.lit(0)), F.lit(0))).alias("added"))
+    """Words that each turn of a conversation has beyond the one before it."""
+    return changed_words(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @REGISTRY(f"""with h as (select item_id, doc_id, b.text as q, d.text as t from benchmark b, documents d where {retrieval.FOUND_SQL.format(t='d.text', q='b.text')}),

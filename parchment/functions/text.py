@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import groupby
+from bisect import bisect_left
+from itertools import accumulate, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -294,3 +295,33 @@ def workbook_sheets(text: str) -> list[tuple[str, str]]:
     """(name, content) of the tabs of a workbook kept as one text; tabs after the first start with a form feed and a name."""
     first, *rest = text.split("\n\f")
     return [("", first), *((x.split("\n", 1)[0], x.split("\n", 1)[1] if "\n" in x else "") for x in rest)]
+
+
+# What an export leaves behind that isn't text, in the order in which it goes, and what stands for it.
+_LINE_END = r"(?=[\r\n\u2028\u2029]|\Z)"
+LEFTOVERS = tuple((re.compile(p, f), by) for p, f, by in (
+    (rf"(?:(?m:^)|(?<=[\r\u2028\u2029]))[ \t]*(?:\[[^\]\n]+\])?:[ \t]*<data:image/[^>]*>(?:[ \t]+[\"'][^\r\n]*[\"'])?[ \t]*{_LINE_END}", 0, ""),
+    (r"!\[[^\]\n]*\](?:\([^)\n]*\)|\[[^\]\n]*\])", 0, ""), (r"~?\[\](?:\([^)\n]*\)|\[[^\]\n]*\])?", 0, ""), (r"\[image\d+\]", re.I, ""),
+    (rf"[ \t]+{_LINE_END}", 0, ""), (r"\n{3,}", 0, "\n\n"), (r"\A\s+|\s+\Z", 0, ""),
+))
+
+
+def sanitised(markdown: str, positions: list[int]) -> tuple[str, list[int]]:
+    """(text without leftovers of its export, where the positions stand in it).
+
+    Each step is a table of edits (start, end, what was gained or lost before it); a position finds by its end the first edit
+    that it doesn't lie beyond, and moves to the edit's replacement if it lies inside, else by what came before.
+    """
+    text, places = markdown, list(positions)
+    for pattern, by in LEFTOVERS:
+        edits = [m.span() for m in pattern.finditer(text) if m.end() > m.start()]
+        if not edits:
+            continue
+        ends, shift = [e for _, e in edits], [0, *accumulate(len(by) - (e - s) for s, e in edits)]
+        moved = []
+        for p in places:
+            k = bisect_left(ends, p)
+            inside = k < len(edits) and p >= edits[k][0]
+            moved.append(edits[k][0] + shift[k] + min(p - edits[k][0], len(by)) if inside else p + shift[k])
+        text, places = pattern.sub(by, text), moved
+    return text, places

@@ -27,22 +27,24 @@ from parchment.sources.tables import table
 REGISTRY = Registry()
 
 WORD = r"[\p{L}\p{N}]+"
-BUCKETS = 64
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+class KeptIndex:
+    """The index at ``path``; ``stems`` says whether terms are stems, ``passages`` how a text is cut into (doc_id, ordinal, content).
 
+    ``buckets`` is fixed for the life of an index; ``files`` parts each bucket of a segment, so that no task writes a whole
+    bucket of a large one.
+    """
 
-class KeptIndex:
-    """The index at ``path``; ``stems`` says whether terms are stems, ``passages`` how a text is cut into (doc_id, ordinal, content)."""
+    def __init__(self, spark: SparkSession, path: str, stems: bool = False, passages=retrieval.passages, buckets: int = 64, files: int = 1):
+        self.spark, self.path, self.stems, self.passages, self.buckets, self.files = spark, path, stems, passages, buckets, files
 
-    def __init__(self, spark: SparkSession, path: str, stems: bool = False, passages=retrieval.passages):
-        self.spark, self.path, self.stems, self.passages = spark, path, stems, passages
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def _table(self, name: str) -> DataFrame | None:
         try:
@@ -87,7 +89,7 @@ class KeptIndex:
         cut_up = self.passages(docs.join(changed.select("doc_id"), "doc_id", "left_semi"))
         each = cut_up.select("doc_id", "ordinal", F.posexplode(words(F.col("content"))).alias("place", "word"))
         postings = self._terms(each, "word").groupBy("term", "doc_id", "ordinal").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-        out = postings.withColumn("segment", F.lit(number)).withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+        out = postings.withColumn("segment", F.lit(number)).withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.files))).sortWithinPartitions("bucket", "term")
         out.write.mode("append").partitionBy("segment", "bucket").option("compression", "zstd").parquet(f"{self.path}/postings")
         if gone is not None:
             gone.withColumn("before", F.lit(number)).withColumn("segment", F.lit(number)).write.mode("append").parquet(f"{self.path}/gone")
@@ -109,7 +111,7 @@ class KeptIndex:
 
     def postings(self, terms: tuple[str, ...]) -> DataFrame:
         """(term, doc_id, ordinal, tf, places) of some terms: partition filters by their buckets, the terms pushed to the scan."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(term_bucket(F.col("term"))).distinct().collect()]  # a row a term asked
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(F.col("term"))).distinct().collect()]  # a row a term asked
         held = self._table("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(*terms))
         return self._live(held).select("term", "doc_id", "ordinal", "tf", "places")
 
@@ -139,8 +141,8 @@ class KeptIndex:
 
     def compacted(self, path: str) -> KeptIndex:
         """What the index holds as one segment at ``path``."""
-        out = KeptIndex(self.spark, path, self.stems, self.passages)
-        self._live(self._table("postings")).withColumn("segment", F.lit(1)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("segment", "bucket").option("compression", "zstd").parquet(f"{path}/postings")
+        out = KeptIndex(self.spark, path, self.stems, self.passages, self.buckets, self.files)
+        self._live(self._table("postings")).withColumn("segment", F.lit(1)).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.files))).sortWithinPartitions("bucket", "term").write.partitionBy("segment", "bucket").option("compression", "zstd").parquet(f"{path}/postings")
         self.held().withColumn("segment", F.lit(1)).write.parquet(f"{path}/documents")
         return out
 
@@ -152,7 +154,7 @@ def upkept(spark: SparkSession, sf_dir: str, stems: bool = False) -> KeptIndex:
     """An index of the documents' texts without their last words, brought up to the texts as they are: those that have one word
     only come new, and documents that have no text any more go."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = KeptIndex(spark, folder(spark, "index"), stems)
+    index = KeptIndex(spark, folder(spark, "index"), stems, buckets=8)
     before = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", r"\s*\S+\s*$", "")).otherwise(F.coalesce("text", F.lit("gone soon")))
     index.upkeep(d.select("doc_id", before.alias("text")).where("text <> ''"))
     index.upkeep(d.where("text is not null"))

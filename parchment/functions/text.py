@@ -17,23 +17,33 @@ _FOLD = str.maketrans(FOLDS)
 _MARKS = set("*_`#\\")
 
 
+#: How structure is headed in texts without markdown, what opens a workbook's further tab, longest such heading.
+STRUCTURE = re.compile(r"\s*(?:\*\*|__)?\s*(article|section|amendment|title|chapter|part|clause)\s+([ivxlcdm]+|\d+)\b", re.I)
+SHEET = "\f"
+HEADING_CHARS = 100
+
+
 def heading_level(line: str) -> int:
-    """0 for ordinary lines; markdown level, 2 for articles, 3 for sections and clauses."""
-    line = line.strip()
-    if not line or len(line) > 100:
-        return 0
+    """0 for ordinary lines; 1 for a sheet's tab, the markdown level, 3 for sections and clauses, 2 for other structure."""
+    line = line.rstrip("\n")
+    if line.startswith(SHEET):
+        return int(bool(line.strip()))
     if m := re.match(r"(#{1,6})\s+\S", line):
         return len(m[1])
-    if re.match(r"ARTICLE\s+[IVXLC\d]+\b", line):
-        return 2
-    return 3 if re.match(r"(?:SECTION|CLAUSE)\s+\d+", line, re.I) else 0
+    m = STRUCTURE.match(line) if len(line) <= HEADING_CHARS else None
+    return 0 if m is None else 3 if m[1].lower() in ("section", "clause") else 2
+
+
+def heading_text(line: str) -> str:
+    line = line.strip()
+    return re.sub(r"\s*#*$", "", line.lstrip("#").strip()) if line.startswith("#") else re.sub(r"[*_#]", "", line).strip()
 
 
 def split_passages(text: str, target: int = TARGET, longest: int = LONGEST, shortest: int = SHORTEST) -> list[tuple[int, str, str, int, int]]:
     """(ordinal, heading trail, content, start, end) in code points.
 
     A heading starts a passage; a blank line ends one of ``target`` characters; one of ``longest`` is cut where it stands;
-    one under ``shortest`` joins the one before it if its heading lies at or below that one's.
+    one under ``shortest`` joins the one after it if that stands under it, else the one before it under the same heading.
     """
     spans: list[list] = []
     trail: list[tuple[int, str]] = []
@@ -45,11 +55,11 @@ def split_passages(text: str, target: int = TARGET, longest: int = LONGEST, shor
             spans.append([open_[0], end, open_[1]])
         open_ = None
 
-    for line in text.splitlines(keepends=True):
+    for line in re.findall(r"[^\n]*\n|[^\n]+\Z", text):  # only \n ends a line
         level = heading_level(line)
         if level:
             close(at)
-            trail = [t for t in trail if t[0] < level] + [(level, line.strip().lstrip("#").strip())]
+            trail = [t for t in trail if t[0] < level] + [(level, heading_text(line))]
         if open_ is None:
             open_ = (at, tuple(t[1] for t in trail))
         end = at + len(line)
@@ -62,11 +72,25 @@ def split_passages(text: str, target: int = TARGET, longest: int = LONGEST, shor
         at = end
     close(at)
     out: list[list] = []
-    for s in spans:
-        if out and s[1] - s[0] < shortest and s[2][: len(out[-1][2])] == out[-1][2] and out[-1][1] == s[0] and s[1] - out[-1][0] <= longest:
-            out[-1][1] = s[1]
+
+    def keep(span: list) -> None:
+        if out and span[1] - span[0] < shortest and span[2] == out[-1][2] and span[1] - out[-1][0] <= longest:
+            out[-1][1] = span[1]
         else:
-            out.append(s)
+            out.append(span)
+
+    held: list | None = None  # a short one, which goes with what stands under it
+    for start, end, names in spans:
+        if held is not None:
+            if names[: len(held[2])] == held[2] and end - held[0] <= longest:
+                start = held[0]
+            else:
+                keep(held)
+        held = [start, end, names] if end - start < shortest else None
+        if held is None:
+            keep([start, end, names])
+    if held is not None:
+        keep(held)
     return [(k, " > ".join(names), text[a:b], a, b) for k, (a, b, names) in enumerate(out)]
 
 

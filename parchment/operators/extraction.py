@@ -13,16 +13,21 @@ from parchment.sources.tables import table
 REGISTRY = Registry()
 
 
-@REGISTRY()
-def passages_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of every document with their heading trail and place; Arrow batches, a text at a time."""
+def split(docs: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, heading, content, start_at, end_at): passages of texts (doc_id, text), an Arrow batch a time."""
 
     def run(batches):
         for frame in batches:
             rows = [(d, *p) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for p in rules.split_passages(t or "")]
             yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "heading", "content", "start_at", "end_at"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, heading string, content string, start_at int, end_at int")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ordinal int, heading string, content string, start_at int, end_at int")
+
+
+@REGISTRY()
+def passages_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document with their heading trail and place."""
+    return split(table(spark, sf_dir, "documents"))
 
 
 _HREF = 'href="([^"]*)"'

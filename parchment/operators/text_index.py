@@ -15,11 +15,11 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.stems import stem
-from parchment.operators import retrieval
+from parchment.operators import extraction, retrieval
 from parchment.plans.registry import Registry
 from parchment.sources.scratch import cut, folder
 from parchment.sources.tables import table
@@ -150,11 +150,16 @@ class KeptIndex:
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 
-def upkept(spark: SparkSession, sf_dir: str, stems: bool = False) -> KeptIndex:
+def headed_passages(docs: DataFrame) -> DataFrame:
+    """Passages of texts as they are ranked: the trail of headings that each stands under, and its words."""
+    return extraction.split(docs).select("doc_id", "ordinal", F.concat_ws(" ", "heading", "content").alias("content"))
+
+
+def upkept(spark: SparkSession, sf_dir: str, stems: bool = False, passages=retrieval.passages) -> KeptIndex:
     """An index of the documents' texts without their last words, brought up to the texts as they are: those that have one word
     only come new, and documents that have no text any more go."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = KeptIndex(spark, folder(spark, "index"), stems, buckets=8)
+    index = KeptIndex(spark, folder(spark, "index"), stems, passages, buckets=8)
     before = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", r"\s*\S+\s*$", "")).otherwise(F.coalesce("text", F.lit("gone soon")))
     index.upkeep(d.select("doc_id", before.alias("text")).where("text <> ''"))
     index.upkeep(d.where("text is not null"))
@@ -178,6 +183,19 @@ def search_kept_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkept(spark, sf_dir, True).ranked(retrieval.TERMS, retrieval.CANDIDATES)
 
 
+@REGISTRY()
+def search_kept_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best passages, with their headings, by stems: at most three a document, fourteen in all, as an answer reads them.
+
+    Of the candidates, which are as many as a question may have, each document's best are numbered.
+    """
+    index = upkept(spark, sf_dir, True, headed_passages)
+    best = index.ranked(retrieval.TERMS, retrieval.CANDIDATES).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal"))).where(F.col("k") <= retrieval.PER_DOCUMENT)
+    top = best.orderBy(F.desc("score"), "doc_id", "ordinal").limit(retrieval.TOTAL)
+    text = extraction.split(table(spark, sf_dir, "documents").join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi"))
+    return top.join(text, ["doc_id", "ordinal"]).select("doc_id", "ordinal", "heading", "start_at", "end_at", "matched", "score")
+
+
 PHRASE = ("the", "and", "attion")
 
 

@@ -325,6 +325,12 @@ def verdict(x: Column) -> tuple[Column, Column]:
     return status, F.when(~torn & (x["last"]["day"] > F.lit(_NEVER).cast("date")), x["last"]["day"])
 
 
+def decide(matches: DataFrame, key: str) -> DataFrame:
+    """(key, status, day) of the keys for which a row decides."""
+    status, day = verdict(F.col("x"))
+    return decided(matches, key).where("x.reading is not null").select(key, status.alias("status"), day.alias("day"))
+
+
 _BILLS = """select o_orderkey as id, case when o_orderkey % 3 = 0 then o_orderkey else -1 end as file, 'act ' || (o_custkey % 200) as title,
   'S.B. 112-' || (o_orderkey % 50) || ' | ACT ' || ((o_custkey + (case when o_orderpriority = '1-URGENT' then 1 else 0 end)) % 200) || '.pdf' as display from orders"""
 

@@ -140,7 +140,7 @@ def renumbered(content: Column, kept: Column) -> Column:
     return F.trim(F.regexp_replace(out, r" +([.,;:!?])", "$1"))
 
 
-_CITED = "replace(replace(substr(text, 1, 120), '[', ''), ']', '') || ' [' || (turn % 4 + 1) || '] and [7] so [2] [' || (conv_id % 5 + 1) || '] end [2] .'"
+_CITED = "replace(replace(text, '[', ''), ']', '') || ' [' || (turn % 4 + 1) || '] and [7] so [2] [' || (conv_id % 5 + 1) || '] end [2] .'"
 
 
 @REGISTRY(rf"""with c as (select conv_id, turn, {_CITED} as content, [1, 2, 3, 5] as kept from conversations where text is not null), m as (select *, list_transform(regexp_extract_all(content, '\[(\d+)\]', 1), lambda x: x::int) as marks, regexp_split_to_array(content, '\[\d+\]') as parts from c),
@@ -150,7 +150,7 @@ select conv_id, turn, trim(regexp_replace(regexp_replace(array_to_string(list_tr
 def citations_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose citation markers are numbered by first use, those that can't be verified dropped: inside the row, no shuffle."""
     said = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
-    content = said(F.translate(F.substring("text", 1, 120), "[]", ""), " [", F.col("turn") % 4 + 1, "] and [7] so [2] [", F.col("conv_id") % 5 + 1, "] end [2] .")
+    content = said(F.translate("text", "[]", ""), " [", F.col("turn") % 4 + 1, "] and [7] so [2] [", F.col("conv_id") % 5 + 1, "] end [2] .")
     kept = F.array(*map(F.lit, (1, 2, 3, 5)))
     c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", content.alias("content"))
     cited = F.size(F.array_distinct(F.filter(F.transform(F.regexp_extract_all("content", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.cast("int")), lambda m: F.array_contains(kept, m))))

@@ -110,12 +110,12 @@ def passage_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY("""with m as (select conv_id, turn, regexp_extract(text, '([a-z]{5,})', 1) as heading, text, date '2024-01-01' + ((conv_id * 7 + turn * 3) % 200)::int as day from conversations where text is not null)
 select conv_id, max_by(turn, (day, turn)) as turn, max(day)::varchar as day, count(*)::bigint as entries from m group by 1""")
 def latest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest of the meetings that one file logs, and how many it logs: entries are parted by their headings and dated."""
+    """The latest of the meetings that one file logs, and how many it logs: entries are parted by their headings and dated, a piece
+    of the file a row, so that no row grows with a file."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
     day = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 200).cast("int"))
-    entry = F.concat(F.lit("\n## Meeting of "), day.cast("string"), F.lit(" #"), F.col("turn").cast("string"), F.lit("\n"), F.translate(F.substring("text", 1, 80), "#\n", "  "))
-    files = c.groupBy("conv_id").agg(F.array_join(F.collect_list(entry), "").alias("log"))
-    each = files.select("conv_id", F.explode(F.slice(F.split("log", "\n## Meeting of "), 2, 1 << 30)).alias("e"))
+    entry = F.concat(F.lit("\n## Meeting of "), day.cast("string"), F.lit(" #"), F.col("turn").cast("string"), F.lit("\n"), F.translate("text", "#\n", "  "))
+    each = c.select("conv_id", entry.alias("log")).select("conv_id", F.explode(F.slice(F.split("log", "\n## Meeting of "), 2, 1 << 30)).alias("e"))
     dated = each.select("conv_id", F.to_date(F.regexp_extract("e", r"^(\d{4}-\d{2}-\d{2})", 1)).alias("day"), F.regexp_extract("e", r"#(\d+)\n", 1).cast("long").alias("turn"))
     g = dated.groupBy("conv_id").agg(F.max(F.struct("day", "turn")).alias("x"), F.count("*").alias("entries"))
     return g.select("conv_id", "x.turn", F.col("x.day").cast("string").alias("day"), "entries")

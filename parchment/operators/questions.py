@@ -439,13 +439,13 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 BULLETS_AFTER = 8
 
 
-@REGISTRY(f"""with m as (select n_name as body, c_name || ' (' || c_mktsegment || ')' as seat, row_number() over (partition by n_name order by c_name) as k, count(*) over (partition by n_name) as n from customer join nation on c_nationkey = n_nationkey where c_acctbal > 9300)
+@REGISTRY(f"""with m as (select n_name as body, c_name || ' (' || c_mktsegment || ')' as seat, row_number() over (partition by n_name order by c_name) as k, count(*) over (partition by n_name) as n from customer join nation on c_nationkey = n_nationkey)
 select body, 0::bigint as place, 'The current ' || body || case when n > {BULLETS_AFTER} then ':' when n = 1 then ' is ' || min(seat) || '.' when n = 2 then ' is ' || string_agg(seat, ' and ' order by k) || '.'
  else ' is ' || string_agg(seat, ', ' order by k) filter (k < n) || ', and ' || max(seat) filter (k = n) || '.' end as line from m where k <= {BULLETS_AFTER} or n <= {BULLETS_AFTER} group by body, n
 union all select body, k, '- ' || seat from m where n > {BULLETS_AFTER}""")
 def roster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who sits in each body, as lines: a sentence for up to eight, a heading and a line a member beyond, so no row grows with a body."""
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9300").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     m = c.select(F.col("n_name").alias("body"), F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("seat"), F.row_number().over(Window.partitionBy("n_name").orderBy("c_name")).cast("long").alias("k"), F.count("*").over(Window.partitionBy("n_name")).alias("n"))
     g = m.where(F.col("k") <= BULLETS_AFTER).groupBy("body", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "seat"))), lambda x: x["seat"]).alias("s"))
     last, rest = F.element_at("s", -1), F.array_join(F.slice("s", F.lit(1), F.size("s") - 1), ", ")

@@ -545,12 +545,12 @@ def sheet_delimiter(mime: Column) -> Column:
 _CELL = """case when regexp_matches(c, '[",]') then '"' || replace(c, '"', '""') || '"' else c end"""
 
 
-@REGISTRY(f"""with r as (select doc_id, regexp_replace(left(text, 60), '\\r\\n|[\\r\\n\\f]', ' ', 'g') as a, regexp_replace(coalesce(source, ''), '\\r\\n|[\\r\\n\\f]', ' ', 'g') as b, case doc_id % 3 when 0 then 'application/vnd.ms-excel' when 1 then 'text/csv' else 'text/plain' end as mime from documents where text is not null)
+@REGISTRY(f"""with r as (select doc_id, regexp_replace(text, '\\r\\n|[\\r\\n\\f]', ' ', 'g') as a, regexp_replace(coalesce(source, ''), '\\r\\n|[\\r\\n\\f]', ' ', 'g') as b, case doc_id % 3 when 0 then 'application/vnd.ms-excel' when 1 then 'text/csv' else 'text/plain' end as mime from documents where text is not null)
 select doc_id, {_CELL.replace('c', 'a', 0).replace('(c,', '(a,').replace('replace(c', 'replace(a').replace('else c', 'else a')} || ',' || {_CELL.replace('(c,', '(b,').replace('replace(c', 'replace(b').replace('else c', 'else b')} as row, case when regexp_matches(mime, '(?i)spreadsheetml|excel') then 'tab' when regexp_matches(mime, '(?i)spreadsheet|csv') then 'comma' else 'none' end as delimiter from r""")
 def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as delimited text, and the delimiter that a file's type calls for."""
     mime = F.when(F.col("doc_id") % 3 == 0, "application/vnd.ms-excel").when(F.col("doc_id") % 3 == 1, "text/csv").otherwise("text/plain")
     d = table(spark, sf_dir, "documents").where("text is not null")
-    row = F.concat(delimited_cell(F.substring("text", 1, 60), ","), F.lit(","), delimited_cell(F.coalesce("source", F.lit("")), ","))
+    row = F.concat(delimited_cell(F.col("text"), ","), F.lit(","), delimited_cell(F.coalesce("source", F.lit("")), ","))
     found = sheet_delimiter(mime)
     return d.select("doc_id", row.alias("row"), F.when(found == "\t", "tab").when(found == ",", "comma").otherwise("none").alias("delimiter"))

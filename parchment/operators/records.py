@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parchment.operators import orders
 from parchment.functions.unicode import nfkc
 from parchment.plans.registry import Registry
+from parchment.sources.scratch import cut
 from parchment.sources.tables import table
 
 REGISTRY = Registry()
@@ -487,20 +488,15 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     A level is one join of the new nodes with the edges; nodes seen before drop out, so cycles end.  Levels are cut from
     each other's lineage in the checkpoint folder.
     """
-    context = roots.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(shared or "file:/tmp/checkpoints")
-    front = roots.groupBy("node").agg(F.min("tag").alias("tag")).withColumn("level", F.lit(0)).checkpoint()
+    front = roots.groupBy("node").agg(F.min("tag").alias("tag")).withColumn("level", F.lit(0))
+    front = cut(front)
     seen = front
     for level in range(1, depth + 1):
         following = front.join(edges, F.col("node") == F.col("parent")).groupBy("child").agg(F.min("tag").alias("tag")).select(F.col("child").alias("node"), "tag").join(seen.select("node"), "node", "left_anti")
-        front = following.withColumn("level", F.lit(level)).checkpoint()
+        front = cut(following.withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint()
+        seen = cut(seen.unionByName(front))
     return seen
 
 

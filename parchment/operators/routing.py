@@ -52,10 +52,15 @@ def read(spark: SparkSession, question: str, now: datetime) -> Reading:
     return Reading(question, row.focus, tuple(row.concepts), row.members, row.votes, period)
 
 
-def ranked(index: KeptIndex, concepts: tuple[str, ...], within: DataFrame | None = None, limit: int = retrieval.CANDIDATES) -> DataFrame:
-    """(doc_id, ordinal, score): the best passages for concepts, each a word or words parted by ``|`` of which any will do.
+def best_of(scored: DataFrame, limit: int = retrieval.CANDIDATES) -> DataFrame:
+    """The best passages; ties go to the smaller document and place."""
+    return scored.orderBy(F.desc("score"), "doc_id", "ordinal").limit(limit)
 
-    ``within`` (doc_id) holds few documents, at most those of a period.  Ties go to the smaller document and place.
+
+def scored(index: KeptIndex, concepts: tuple[str, ...], within: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ordinal, score) of all passages that hold a concept, each a word or words parted by ``|`` of which any will do.
+
+    ``within`` (doc_id) holds few documents, at most those of a period.
     """
     said = index.stems
     pairs = [(stem(w) if said else w, k) for k, c in enumerate(concepts) for w in c.split("|")]
@@ -68,7 +73,7 @@ def ranked(index: KeptIndex, concepts: tuple[str, ...], within: DataFrame | None
     of = F.broadcast(index.spark.createDataFrame(sorted(set(pairs)), "term string, concept int"))  # a row a word of the question
     g = postings.join(of, "term").groupBy("doc_id", "ordinal", "concept").agg(F.sum("tf").alias("tf")).groupBy("doc_id", "ordinal").agg(F.sum("tf").cast("double").alias("tf"), F.count("*").alias("matched"))
     score = (F.col("tf") / (F.col("tf") + 10) + F.col("matched")) / (len(concepts) + 1)
-    return g.select("doc_id", "ordinal", score.alias("score")).orderBy(F.desc("score"), "doc_id", "ordinal").limit(limit)
+    return g.select("doc_id", "ordinal", score.alias("score"))
 
 
 def is_guiding(kind: Column) -> Column:
@@ -103,7 +108,7 @@ def roster_evidence(index: KeptIndex, documents: DataFrame, asked: Reading) -> D
     """The newest contact lists and attendance sheets: their best passages, and their first ones where the words find few."""
     sheets = documents.where("text <> ''").where((F.col("kind") == "directory") | ((F.col("kind") == "attendance") & F.lower("title").contains("sheet")))
     newest = cut(sheets.orderBy(F.desc_nulls_last("dated"), "doc_id").limit(ROSTERS).select("doc_id", "text"))
-    own = cut(ranked(index, asked.concepts, newest, ROSTER_PASSAGES))
+    own = cut(best_of(scored(index, asked.concepts, newest), ROSTER_PASSAGES))
     few = own.agg((F.count("*") < FEW).alias("few")).where("few")
     first = index.passages(newest).where(F.col("ordinal") < OPENINGS).join(own, ["doc_id", "ordinal"], "left_anti").join(F.broadcast(few), F.lit(True), "left_semi")
     return own.select("doc_id", "ordinal", "score").unionByName(first.select("doc_id", "ordinal", F.lit(0.0).alias("score"))).select("doc_id", "ordinal", (F.col("score") + ROSTER_LIFT).alias("score"), F.lit("").alias("edition"), F.lit("roster").alias("evidence"))
@@ -136,10 +141,10 @@ def of_period(index: KeptIndex, documents: DataFrame, asked: Reading, limit: int
     inside = cut(dated.where((F.col("dated") >= start) & (F.col("dated") < end)).orderBy(*newest).limit(questions.LISTED).select("doc_id", "dated", "text"))
     outside = inside.isEmpty()
     listed = cut(dated.orderBy(*newest).limit(questions.NEAREST).select("doc_id", "dated", "text")) if outside else inside
-    best = cut(ranked(index, asked.concepts, listed))
+    best = cut(best_of(scored(index, asked.concepts, listed)))
     tier = "words"
     if best.isEmpty():
-        best, tier = cut(ranked(index, tuple(questions.BUSINESS), listed)), "decisions"
+        best, tier = cut(best_of(scored(index, tuple(questions.BUSINESS), listed))), "decisions"
     first = index.passages(listed.join(best.select("doc_id").distinct(), "doc_id", "left_anti")).where(F.col("ordinal") < questions.DATED_PASSAGES)
     rows = best.withColumn("evidence", F.lit(tier)).unionByName(first.select("doc_id", "ordinal", F.lit(0.0).alias("score"), F.lit("opening").alias("evidence")))
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal"))
@@ -165,7 +170,8 @@ def answered_from(index: KeptIndex, documents: DataFrame, question: str, now: da
         documents = documents.where(F.col("session") == session)
     if asked.period is not None:
         return of_period(index, documents, asked, limit)
-    candidates = cut(ranked(index, asked.concepts) if session is None else _in_session(index, asked, documents))
+    found = scored(index, asked.concepts)
+    candidates = cut(best_of(found if session is None else found.join(documents.select("doc_id"), "doc_id", "left_semi")))
     rows = weighed(documents, candidates, asked, now)
     if asked.members:
         rows = rows.unionByName(roster_evidence(index, documents, asked))
@@ -176,12 +182,6 @@ def answered_from(index: KeptIndex, documents: DataFrame, question: str, now: da
     return best.select("doc_id", "ordinal", "score", "edition", "evidence", F.lit(False).alias("outside"), place.alias("place"))
 
 
-def _in_session(index: KeptIndex, asked: Reading, documents: DataFrame) -> DataFrame:
-    """Candidates among the documents of a session: every passage with a word is scored, and they meet by their ids."""
-    every = ranked(index, asked.concepts, None, 2**31 - 1)
-    return every.join(documents.select("doc_id"), "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id", "ordinal").limit(retrieval.CANDIDATES)
-
-
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 #: A question of each route: rules in force, members, votes, a period with words, one without, one that holds nothing.

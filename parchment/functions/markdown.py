@@ -51,14 +51,26 @@ def _replaced(text: Column, steps) -> Column:
     return text
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def prose(text: Column) -> Column:
     """A block of markdown as one line of prose."""
     return _replaced(text, MARKUP)
 
 
+def _in_lines(pattern: str) -> str:
+    """A pattern of ``MARKUP`` that finds in a text what it finds in each of its lines: its blanks, and what it excludes, end at a newline."""
+    blank = r"[^\S\n]"
+    out = pattern.replace(r"[\s:|-]", r"(?:[^\S\n]|[:|-])").replace(r"\s", blank).replace(r"[^A-Za-z0-9]", r"[^A-Za-z0-9\n]").replace(r"\A", "^").replace(r"\z", "$")
+    return out if out.startswith("(?m)") else f"(?m){out}"
+
+
 def prose_lines(text: Column) -> Column:
-    """Each line by itself as prose."""
-    return F.array_join(F.transform(F.split(text, "\n"), prose), "\n")
+    """Each line by itself as prose, by replacements over the whole text."""
+    return _replaced(text, [(_in_lines(p), by) for p, by in MARKUP])
 
 
 def is_noise(line: Column) -> Column:
@@ -88,8 +100,8 @@ def description(text: Column, limit: int = LIMIT) -> Column:
     blocks = F.split(_replaced(F.coalesce(text, F.lit("")), LEFTOVERS), r"\n\s*\n")
     read = F.transform(blocks, lambda b: F.struct(F.regexp_replace(b, r"\A\s+", "").startswith("#").alias("head"), prose(b).alias("line")))
     usable = F.filter(read, lambda x: ~is_noise(x["line"]))
-    first = F.coalesce(F.get(F.filter(usable, lambda x: ~x["head"]), F.lit(0)), F.get(usable, F.lit(0)))
-    return shortened(F.coalesce(first["line"], F.lit("")), limit)
+    first = _let(usable, lambda u: F.coalesce(F.get(F.filter(u, lambda x: ~x["head"]), F.lit(0)), F.get(u, F.lit(0))))
+    return _let(F.coalesce(first["line"], F.lit("")), lambda line: shortened(line, limit))
 
 
 # --- the same as SQL -----------------------------------------------------------------------------------------------------

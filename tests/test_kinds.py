@@ -80,3 +80,14 @@ def test_queries_equal_their_sql(spark):
 def test_one_scan_without_a_shuffle(spark):
     plan = kinds.document_kinds(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_lines_of_a_whole_text(spark):
+    """Replacements over a text find what they find line by line."""
+    import random
+
+    rnd, bits = random.Random(4), ["[a](b)", "[a]", "[]", "(x)", "![i](j)", "[image1]", "\n", "\n", "\n\n", " ", "  ", "\t", "|", "---", ":|-", "- ", "1. ", "2) ", "# ", "## ", "*", "_", "\\.", "\\", "[[", "]]", "word", "Ñu", "<br>", "> ", "[r]: u", "~", "[i]: <data:image/png;x>"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    by_line = F.array_join(F.transform(F.split("t", "\n"), markdown.prose), "\n")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", by_line.alias("want"), markdown.prose_lines(F.col("t")).alias("got")).where("want is distinct from got").limit(5).collect()
+    assert [tuple(r) for r in got] == []

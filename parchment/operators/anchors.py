@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment.functions import cells
 from parchment.functions import text as rules
 from parchment.operators import retrieval
 from parchment.plans.registry import Registry
@@ -62,6 +63,20 @@ def gone_stale(orphans: DataFrame, citing: dict[str, tuple[DataFrame, DataFrame]
     return owners.join(hit, ["kind", "owner_id"], "left").select("kind", "owner_id", status.alias("status"))
 
 
+def cells_restored(docs: DataFrame, key: str) -> DataFrame:
+    """(key, content, n_breaks): texts (key, markdown, html) with the line breaks of their HTML export back in their tables' cells.
+
+    A text without an export, or whose tables aren't found in it, stays as it is; a null text is empty.  An Arrow batch a time.
+    """
+
+    def run(batches):
+        for frame in batches:
+            got = [cells.restored(m or "", h or "") for m, h in zip(frame["markdown"], frame["html"], strict=True)]
+            yield pd.DataFrame({key: frame[key], "content": [c for c, _ in got], "n_breaks": pd.array([len(p) for _, p in got], "int32")})
+
+    return docs.select(key, "markdown", "html").mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, content string, n_breaks int")
+
+
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 
@@ -97,3 +112,23 @@ def exactly(annotations: DataFrame, texts: DataFrame) -> DataFrame:
     """As ``reanchored``, for quotes that must stand as they are."""
     met = annotations.join(texts, "doc_id")
     return met.select("annotation_id", (~F.coalesce(retrieval.found(F.col("text"), F.col("quote")), F.lit(False))).alias("orphaned"))
+
+
+_SPECIAL = "[<>&|*_`#~\\\\\\[\\]]"
+
+
+def tabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, markdown, html, lines): each text as the one cell of a table, on one line as markdown and in paragraphs as HTML."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", _SPECIAL, " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    d = d.select("doc_id", lines.alias("lines"))
+    markdown = F.concat(F.lit("| a | b |\n| --- | --- |\n| x | "), F.array_join("lines", " "), F.lit(" |\nafter"))
+    html = F.concat(F.lit("<p>before</p><table><tr><th>a</th><th>b</th></tr><tr><td>x</td><td>"), F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), ""), F.lit("</td></tr></table>"))
+    return d.select("doc_id", "lines", markdown.alias("markdown"), html.alias("html"))
+
+
+@REGISTRY()
+def table_cells_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that an export put on one line of a table, with their lines back."""
+    got = cells_restored(tabled(spark, sf_dir), "doc_id")
+    return got.select("doc_id", "n_breaks", F.md5("content").alias("digest"))

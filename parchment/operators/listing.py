@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,6 +125,40 @@ def anti_join_unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+def pending(docs: DataFrame, done: DataFrame | None, after: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` that a pass still has to do: those with a text, without a row in ``done`` (null: all are done anew), beyond ``after``."""
+    rest = docs.where(F.coalesce(F.col(text), F.lit("")) != "")
+    if after is not None:
+        rest = rest.where(F.col(key) > after)  # reaches the scan
+    return rest if done is None else rest.join(done.select(key), key, "left_anti")
+
+
+def resumed_pass(docs: DataFrame, done: Callable[[], DataFrame | None], work: Callable[[DataFrame], None], after: int | None = None, chunk: int = 10_000, until: Callable[[], bool] = lambda: False, key: str = "doc_id") -> tuple[int | None, bool]:
+    """Hands what is pending to ``work`` in chunks by id; (the id to go on after, whether all is done).
+
+    ``until`` is asked before each chunk and stops the pass.  The cursor goes by id, so a document that yields no row of
+    ``done`` isn't handed out again and again.  The driver sees two ids a chunk; rows without an id can't be resumed after
+    and are left out.
+    """
+    while True:
+        if until():
+            return after, False
+        rest = pending(docs.where(F.col(key).isNotNull()), done(), after, key)
+        last = rest.select(key).orderBy(key).limit(chunk).agg(F.max(key)).first()[0]
+        if last is None:
+            return after, True
+        work(rest.where(F.col(key) <= last))
+        after = last
+
+
+@REGISTRY("select doc_id, length(text)::bigint as size from documents d where text <> '' and doc_id > (select max(doc_id) // 3 from labels) and not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def documents_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pass that stopped at a third of the labelled ids still has to do, when it is resumed after that id."""
+    labels = table(spark, sf_dir, "labels")
+    after = labels.agg(F.floor(F.max("doc_id") / 3)).first()[0]
+    return pending(table(spark, sf_dir, "documents"), labels, after).select("doc_id", F.length("text").cast("long").alias("size"))
+
+
 @REGISTRY("""select d.doc_id, case when l.doc_id is null then 'missing' when l.quality = 0 then 'stale' else 'fresh' end as status from documents d left join labels l on d.doc_id = l.doc_id
 where l.doc_id is null or l.quality = 0 order by case when l.doc_id is null then 0 else 1 end, n_chars desc, source, d.doc_id limit 25""")
 def queue_budget_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,41 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(ta.tokenizers(*PATHS).encode_a([text])[0], "<u4").tolist() == A.encode(" " + text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abé'sl 3.,!\n\t \x1c\x85\xa0 日▁<|>")), max_size=40))
+def test_pieces_give_the_ids_of_the_whole_text_by_b(text):
+    if "▁" in text:  # not given back as it stands, so encoded whole
+        part = ta.Part(ta.Pieces(ta.tokenizers(*PATHS)))
+        assert part.documents([text])["n_a"].tolist() == [0]
+    else:
+        text += "."  # a last space alone isn't given back, so such a text is encoded whole
+        assert np.frombuffer(ta.tokenizers(*PATHS).encode_b([text])[0], "<u4").tolist() == B.encode(text)
+
+
+def test_a_piece_is_encoded_once_by_either_tokenizer(monkeypatch):
+    asked = []
+    for name in ("ids_a", "ids_b"):
+        monkeypatch.setattr(ta.Tokenizers, name, lambda self, pieces, f=getattr(ta.Tokenizers, name), name=name: asked.extend((name, p) for p in pieces) or f(self, pieces))
+    known = ta.Pieces(ta.tokenizers(*PATHS))
+    for _ in range(2):  # two parts, with odd texts among others
+        part = ta.Part(known)
+        for texts in (["one two one", "three  spaced", "", "mark ▁ of one"], ["two four", " one", "one two one"]):
+            part.documents(texts)
+        totals = part.totals()
+        assert totals["sums"].sum() == totals["links"].size + (np.repeat(part.times, totals["width"]) - 1).sum() and (totals["width"] >= 0).all()
+    assert len(asked) == len(set(asked)) and ("ids_b", "two") in asked
+
+
+def test_the_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(ta, "MEMO", 20)
+    for k in range(20):
+        known = ta.known_pieces(PATHS)
+        ta.Part(known).documents([" ".join(f"word{k}x{j}" for j in range(15))])
+        assert len(known.text) <= 20 + 15
+    monkeypatch.setattr(ta, "MEMO_CHARS", 5)
+    assert ta.known_pieces(PATHS) is not known
+
+
 def brute(rows):
     """All overlapping token pairs by their byte ranges, without windows."""
     letters = ta.byte_of_letter()

@@ -59,9 +59,11 @@ STARTERS = (
 #: Each placeholder is this private-use character and a letter: n number, u unit, a name.
 _MARK = "\ue000"
 _BIG = rf"(?=\p{{Lu}})(?!(?:{'|'.join(STARTERS)})(?!\p{{L}}))\p{{Lu}}\p{{L}}*"
-_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_BIG}(?: {_BIG})*"
-_LOW = "|".join(NUMBERS)
-_NUMBER = rf"[0-9]+(?:[.,][0-9]+)*(?: (?:hundred|thousand|million|billion)(?!\p{{L}}))*|(?=[zotfsenhmb])(?<!\p{{L}})(?:{_LOW})(?:(?:[ -]|(?<=hundred|thousand) and )(?:{_LOW}))*(?!\p{{L}})"
+# Repeated groups are possessive: Java's regex goes a stack frame deeper with each turn of any other, and a run has no longest length.
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_BIG}(?: {_BIG})*+"
+_LOW = rf"(?:{'|'.join(NUMBERS)})(?!\p{{L}})"
+_DIGITS = r"[0-9]+(?:[.,][0-9]+)*+"
+_NUMBER = rf"{_DIGITS}(?: (?:hundred|thousand|million|billion)(?!\p{{L}}))*+|(?=[zotfsenhmb])(?<!\p{{L}}){_LOW}(?:(?:[ -]|(?<=hundred|thousand) and ){_LOW})*+"
 #: Each replaces one value by one placeholder, in this order.
 _PLACEHOLDERS = (
     (_NAME, _MARK + "a"),
@@ -98,7 +100,7 @@ def values(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Plain tokens in lower case."""
-    return F.regexp_extract_all(F.lower(_plain(text)), F.lit(r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_plain(text)), F.lit(rf"{_DIGITS}|\p{{L}}+"), F.lit(0))
 
 
 def _slices(tokens: str | Column, size: Column | int) -> Column:

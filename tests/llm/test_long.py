@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from parchment.llm import _common as C
@@ -69,3 +70,11 @@ def test_own_names_of_columns_stay(spark):
     for got in (quality_rules.keep(docs), simhash_dedup.one_of_each(docs), decontamination.clean(docs, bench), secret_scan.redacted(docs)):
         assert got.columns == docs.columns
         assert {tuple(r)[2:] for r in got.collect()} <= {("x",) * len(names), ("y",) * len(names)} and got.count() >= 1
+
+
+def test_runs_of_names_and_numbers_of_any_length_are_one_placeholder(spark):
+    texts = {"Word ": ["a"], "one ": ["n"], "1,": ["n"], "1 million ": ["n"] * 50_000, "hundred and ": ["n", "and"]}
+    df = spark.createDataFrame([(k * 50_000,) for k in texts], "text string").coalesce(1)
+    rows = df.select(decontamination.template(F.col("text")).alias("t"), F.size(decontamination.values(F.col("text"))).alias("n"), F.size(decontamination.words(F.col("text"))).alias("w")).collect()
+    assert [(r.t, r.n) for r in rows] == [(t, len(t)) for t in texts.values()]
+    assert [r.w for r in rows] == [50_000, 50_000, 1, 100_000, 100_000]
